@@ -188,8 +188,11 @@ def mean_entropy(assigned: DataFrame, cluster: str = "cluster", label: str = "la
 
 @dataclass(frozen=True)
 class Sweep:
+    """Models and scores per k, and the feature rows they were fitted on."""
+
     models: dict[int, Centers]
     scores: DataFrame
+    rows: DataFrame
 
     def best_k(self) -> int:
         return best_k(self.scores).first().k
@@ -206,15 +209,15 @@ def sweep(df: DataFrame, ks: Iterable[int], fit, score, parallel: int = 4) -> Sw
     overlap; ``df`` should be persisted or stored.
     """
     ks = list(ks)
-
+    in_session = inheritable_thread_target(df.sparkSession)
     with ThreadPoolExecutor(parallel) as pool:
-        fitted = [pool.submit(inheritable_thread_target(df.sparkSession)(lambda k=k: fit(df, k))) for k in ks]
-        models = {k: f.result() for k, f in zip(ks, fitted)}
+        fitted = {k: pool.submit(in_session(fit), df, k) for k in ks}
+        models = {k: f.result() for k, f in fitted.items()}
     tables = [score(models[k].assign(df)).select(F.lit(k).alias("k"), "score") for k in ks]
     scores = tables[0]
     for table in tables[1:]:
         scores = scores.unionAll(table)
-    return Sweep(models, scores)
+    return Sweep(models, scores, df)
 
 
 def best_k(scores: DataFrame) -> DataFrame:
