@@ -97,17 +97,8 @@ def dictionary_and_normal_rows(spark, sf_dir):
       THEN 'validation' ELSE 'test' END AS part, label, count(*) AS n FROM lines GROUP BY ALL""",
 )
 def train_test_split(spark, sf_dir):
-    df = lines(spark, sf_dir)
-    parts = {"train": range(7), "validation": range(7, 9), "test": range(9, 10)}
-    pieces = [
-        records.split_by_modulus(df, "l_orderkey", 10, i).withColumn("part", F.lit(part))
-        for part, indexes in parts.items()
-        for i in indexes
-    ]
-    result = pieces[0]
-    for piece in pieces[1:]:
-        result = result.unionAll(piece)
-    return result.groupBy("part", "label").agg(F.count("*").alias("n"))
+    parts = records.with_split(lines(spark, sf_dir), "l_orderkey", {"train": 7, "validation": 2, "test": 1})
+    return parts.groupBy("part", "label").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,6 +118,15 @@ def split_by_modulus(df: DataFrame, key: str, parts: int, index: int) -> DataFra
     return df.filter(F.pmod(F.col(key), F.lit(parts)) == index)
 
 
+def with_split(df: DataFrame, key: str, shares: Mapping[str, int], output: str = "part") -> DataFrame:
+    """Name every row's part from its integer key modulo the sum of the shares, in one scan."""
+    position, name, upper = F.pmod(F.col(key), F.lit(sum(shares.values()))), None, 0
+    for part, share in shares.items():
+        upper += share
+        name = F.when(position < upper, part) if name is None else name.when(position < upper, part)
+    return df.withColumn(output, name)
+
+
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists") -> None:
     """Directory of header-less text parts, one per task; array columns are spread
     over the line."""
