@@ -14,7 +14,7 @@ from farpoint.operators.kmeans import Centers, sum_arrays
 def topic_centers(spark, sf_dir) -> Centers:
     """Mean point of every topic: ten centres from the whole table."""
     df = embeddings(spark, sf_dir)
-    sums = df.groupBy("topic").agg(F.count("*").alias("n"), sum_arrays(F.col("features"), 64).alias("total"))
+    sums = df.groupBy("topic").agg(F.count("*").alias("n"), sum_arrays(F.col("features")).alias("total"))
     means = sums.select(F.col("topic").alias("cluster"), F.transform("total", lambda v: v / F.col("n")).alias("center"))
     return kmeans.centers_from_table(means)
 

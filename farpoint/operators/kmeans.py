@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,15 +115,14 @@ def cluster_sums(rows: DataFrame, centers: np.ndarray) -> DataFrame:
         )
 
     parts = rows.mapInArrow(partial, "cluster int, n long, total array<double>, cost double")
-    d = centers.shape[1]
     return parts.groupBy("cluster").agg(
-        F.sum("n").alias("n"), sum_arrays(F.col("total"), d).alias("total"), F.sum("cost").alias("cost")
+        F.sum("n").alias("n"), sum_arrays(F.col("total")).alias("total"), F.sum("cost").alias("cost")
     )
 
 
-def sum_arrays(column: Column, width: int) -> Column:
-    """Element-wise sum of an array column as an aggregate."""
-    return F.array(*[F.sum(column[i]) for i in range(width)])
+def sum_arrays(column: Column) -> Column:
+    """Element-wise sum of an array column: one aggregate buffer whatever the width."""
+    return vector_to_array(Summarizer.sum(array_to_vector(column)))
 
 
 def train(

@@ -152,7 +152,7 @@ def _sub_sums(rows: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
         )
 
     parts = rows.mapInArrow(partial, "cluster int, sub int, n long, total array<double>")
-    return parts.groupBy("cluster", "sub").agg(F.sum("n").alias("n"), sum_arrays(F.col("total"), d).alias("total"))
+    return parts.groupBy("cluster", "sub").agg(F.sum("n").alias("n"), sum_arrays(F.col("total")).alias("total"))
 
 
 def sub_classes(assigned: DataFrame, is_normal: Column) -> DataFrame:

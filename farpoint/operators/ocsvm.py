@@ -171,7 +171,7 @@ def _violators(rows, directions, phases, w, rho, scaler) -> tuple[int, np.ndarra
 
     row = (
         rows.mapInArrow(partial, "n long, total array<double>")
-        .agg(F.sum("n").alias("n"), sum_arrays(F.col("total"), width).alias("total"))
+        .agg(F.sum("n").alias("n"), sum_arrays(F.col("total")).alias("total"))
         .first()
     )
     return row.n, np.array(row.total)
