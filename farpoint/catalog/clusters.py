@@ -23,7 +23,7 @@ from farpoint.catalog.base import (
 from farpoint.catalog.distances import topic_centers
 from farpoint.operators import kmeans, labelling
 from farpoint.plans.detectors import fit_two_level
-from farpoint.session import materialize
+from farpoint.session import materialize, spread
 from farpoint.sources.records import split_by_modulus
 
 E_K, E_ROUNDS = 8, 3
@@ -44,8 +44,8 @@ def line_centers(df):
 
 
 def stored_lines(spark, sf_dir):
-    """Scaled rows, kept in memory or on disk while several passes read them."""
-    return materialize(scaled_lines(spark, sf_dir), "scaled-lines")
+    """Scaled rows, stored once because several passes read them."""
+    return materialize(spread(scaled_lines(spark, sf_dir)), "scaled-lines")
 
 
 def _by_topic(spark, sf_dir):

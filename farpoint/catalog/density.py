@@ -13,12 +13,12 @@ from farpoint.catalog.base import (
     r,
     rate_columns,
     rounded,
-    scaled_lines,
     sql_assign,
     sql_lloyd,
     sql_outcome,
     sql_rates,
 )
+from farpoint.catalog.clusters import stored_lines
 from farpoint.catalog.distances import topic_centers
 from farpoint.operators import centroid_lof, evaluate, exact_lof, kmeans, neighbours, threshold
 from farpoint.session import materialize
@@ -205,7 +205,7 @@ def exact_lof_embeddings(spark, sf_dir):
 @query("l8_exact_lof_lines")
 def exact_lof_lines(spark, sf_dir):
     """Four scaled numbers of every order line; the all-pairs SQL would be too slow."""
-    model = exact_lof.fit(scaled_lines(spark, sf_dir), 5)
+    model = exact_lof.fit(stored_lines(spark, sf_dir), 5)
     return model.train_scores.select("id", "label", rounded("lof").alias("lof"))
 
 

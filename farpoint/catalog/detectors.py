@@ -19,9 +19,10 @@ from farpoint.catalog.base import (
     sql_outcome,
     sql_rates,
 )
-from farpoint.operators import evaluate, kmeans
+from farpoint.operators import evaluate
 from farpoint.operators.shape import NORMAL
 from farpoint.plans import detectors, features
+from farpoint.session import spread
 
 _LLOYD = features.from_first_rows(4)
 _SMALL = features.library(10)
@@ -29,7 +30,7 @@ _TRAIN, _TEST = "l_orderkey % 5 <> 0", "l_orderkey % 5 = 0"
 
 
 def sides(spark, sf_dir):
-    df = lines(spark, sf_dir)
+    df = spread(lines(spark, sf_dir))
     return df.filter(_TRAIN), df.filter(_TEST)
 
 
@@ -228,18 +229,18 @@ def exact_lof(spark, sf_dir):
 
 @query("sweep_mean_distance")
 def sweep_mean_distance(spark, sf_dir):
-    found = detectors.sweep_distance(lines(spark, sf_dir), range(5, 21, 5), LINES, scaling="train", trainer=_SMALL)
+    found = detectors.sweep_distance(spread(lines(spark, sf_dir)), range(5, 21, 5), LINES, scaling="train", trainer=_SMALL)
     return found.scores
 
 
 @query("sweep_label_entropy")
 def sweep_label_entropy(spark, sf_dir):
-    return detectors.sweep_entropy(lines(spark, sf_dir), (4, 8, 12), LINES, _SMALL).scores
+    return detectors.sweep_entropy(spread(lines(spark, sf_dir)), (4, 8, 12), LINES, _SMALL).scores
 
 
 @query("sweep_best_sample")
 def sweep_best_sample(spark, sf_dir):
-    return detectors.best_k_sample(lines(spark, sf_dir), LINES, (4, 8), trainer=features.library(10, runs=2, init="random"))
+    return detectors.best_k_sample(spread(lines(spark, sf_dir)), LINES, (4, 8), trainer=features.library(10, runs=2, init="random"))
 
 
 @query("sweep_threshold_grid")
@@ -252,5 +253,5 @@ def sweep_threshold_grid(spark, sf_dir):
 
 @query("detector_top_anomalies")
 def top_anomalies(spark, sf_dir):
-    df = detectors.top_anomalies(lines(spark, sf_dir), LINES, 20, trainer=_SMALL)
+    df = detectors.top_anomalies(spread(lines(spark, sf_dir)), LINES, 20, trainer=_SMALL)
     return df.select("id", "l_returnflag", *NUMBERS, rounded("distance").alias("distance"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from farpoint.catalog.base import SQL_EMBEDDINGS, SQL_TOPIC_CENTERS, embeddings, lines, query, r, rounded, scaled_lines, sq
+from farpoint.catalog.base import SQL_EMBEDDINGS, SQL_TOPIC_CENTERS, embeddings, lines, query, r, rounded, sq
+from farpoint.catalog.clusters import stored_lines
 from farpoint.catalog.distances import topic_centers
 from farpoint.operators import ocsvm
 from farpoint.plans.detectors import two_model_svm
 from farpoint.plans.features import Layout, from_first_rows
-from farpoint.session import materialize
+from farpoint.session import spread
 
 _SQL = f"""WITH {SQL_EMBEDDINGS}, {SQL_TOPIC_CENTERS},
 weights AS (SELECT topic AS cluster, count(*) / (SELECT count(*) FROM pts) AS alpha FROM pts GROUP BY topic)
@@ -51,7 +52,7 @@ def one_class_training(spark, sf_dir):
 
 @query("v2_one_class_training_unscaled")
 def one_class_training_unscaled(spark, sf_dir):
-    df = materialize(scaled_lines(spark, sf_dir), "scaled")
+    df = stored_lines(spark, sf_dir)
     model = ocsvm.train(df, 0.1, scale=False, components=64)
     return model.score(df).groupBy("label", "accepted").agg(F.count("*").alias("n"))
 
@@ -65,7 +66,7 @@ def one_class_prediction(spark, sf_dir):
 
 @query("v4_two_model_detector")
 def two_model_detector(spark, sf_dir):
-    df = lines(spark, sf_dir)
+    df = spread(lines(spark, sf_dir))
     layout = Layout(("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     train = df.filter((F.col("label") == "normal.") & (F.col("l_orderkey") % 3 == 0))
     validation, test = df.filter("l_orderkey % 3 = 1"), df.filter("l_orderkey % 3 = 2")

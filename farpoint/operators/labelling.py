@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from farpoint.functions import vectors
 from farpoint.operators.kmeans import Centers, sum_arrays
-from farpoint.operators.shape import top_per_group
+from farpoint.operators.shape import first_per_group
 
 
 def class_counts(assigned: DataFrame, k: int, is_normal: Column, cluster: str = "cluster") -> DataFrame:
@@ -105,9 +105,7 @@ def train_sub(
         return {}
     inside = assigned.filter(F.col("cluster").isin([int(p) for p in parents])).select("cluster", features, *order)
     sub: dict[int, list] = {}
-    for row in (
-        top_per_group(inside, ["cluster"], [F.col(c) for c in order], k).orderBy("cluster", *order).collect()
-    ):
+    for row in first_per_group(inside, "cluster", order, k).orderBy("cluster", *order).collect():
         sub.setdefault(row.cluster, []).append(row[features])
     centers = {p: np.array(rows, dtype=float) for p, rows in sub.items()}
     for _ in range(iterations):

@@ -27,20 +27,45 @@ def above(distance: Column, threshold: float) -> Column:
 def order_statistic(df: DataFrame, column: str, rank: int, ascending: bool = True) -> float:
     """The exact value at a 1-based rank, without sorting the data.
 
-    Each round takes two quantile estimates around the rank, counts the rows below and
-    between them, and goes on with the rows between; the sketch bounds the rest to a
-    fixed share of the round's rows.  A value that many rows share is recognised by its
-    own count, so ties do not stall it.  Only the last few rows are sorted.
+    Near either end the rank is a small top-k.  Elsewhere each round takes two quantile
+    estimates around the rank, counts the rows below and between them, and goes on with
+    the rows between; the sketch bounds the rest to a fixed share of the round's rows.
+    A value that many rows share is recognised by its own count, so ties do not stall
+    it.  Only the last few rows are sorted.
     """
+    if rank < 1:
+        raise ValueError(f"rank {rank} is below 1")
+    scores = _scores(df, column, ascending)
     sign = 1 if ascending else -1
-    scores = df.select((F.col(column).cast("double") * sign).alias("s")).filter(F.col("s").isNotNull())
-    s = F.col("s")
-    total = scores.count()
+    if rank <= _SORT_AT_MOST:
+        row = _end_of(scores, rank)
+        if row.n < rank:
+            raise ValueError(f"rank {rank} outside 1..{row.n}")
+        return row.v * sign
+    scores.persist()
+    try:
+        return _select(scores, rank, scores.count()) * sign
+    finally:
+        scores.unpersist()
+
+
+def _scores(df: DataFrame, column: str, ascending: bool) -> DataFrame:
+    """One column ``s`` whose small end is the wanted one."""
+    s = F.col(column).cast("double")
+    return df.select((s if ascending else -s).alias("s")).filter(F.col("s").isNotNull())
+
+
+def _end_of(scores: DataFrame, rank: int):
+    """Count and largest of the ``rank`` smallest scores."""
+    return scores.orderBy("s").limit(rank).agg(F.count("*").alias("n"), F.max("s").alias("v")).first()
+
+
+def _select(scores: DataFrame, rank: int, total: int) -> float:
     if not 1 <= rank <= total:
         raise ValueError(f"rank {rank} outside 1..{total}")
-    low, high, keep_low, keep_high = None, None, True, True
-    span, left, target = scores, total, rank
-    while left > _SORT_AT_MOST:
+    s = F.col("s")
+    low, high, span, left, target = None, None, scores, total, rank
+    while left > _SORT_AT_MOST and target > _SORT_AT_MOST:
         share, slack = target / left, 2.0 / _SKETCH
         points = [max(0.0, share - slack), min(1.0, share + slack)]
         a, b = span.agg(F.percentile_approx("s", points, _SKETCH).alias("q")).first().q
@@ -51,24 +76,22 @@ def order_statistic(df: DataFrame, column: str, rank: int, ascending: bool = Tru
             F.count_if(s == b).alias("at_b"),
         ).first()
         if target <= row.below:
-            high, keep_high, left = a, False, row.below
+            high, left = a, row.below
         elif target <= row.below + row.at_a:
-            return a * sign
+            return a
         elif target > row.upto:
-            low, keep_low = b, False
-            target, left = target - row.upto, left - row.upto
+            low, target, left = b, target - row.upto, left - row.upto
         elif target > row.upto - row.at_b:
-            return b * sign
+            return b
         else:
-            low, keep_low, high, keep_high = a, False, b, False
             skipped = row.below + row.at_a
-            target, left = target - skipped, row.upto - row.at_b - skipped
+            low, high, target, left = a, b, target - skipped, row.upto - row.at_b - skipped
         span = scores
         if low is not None:
-            span = span.filter(s >= low if keep_low else s > low)
+            span = span.filter(s > low)
         if high is not None:
-            span = span.filter(s <= high if keep_high else s < high)
-    return span.orderBy("s").limit(target).agg(F.max("s").alias("v")).first().v * sign
+            span = span.filter(s < high)
+    return _end_of(span, target).v
 
 
 def nth_largest(df: DataFrame, column: str, n: int = 100) -> float:
@@ -81,11 +104,20 @@ def percent_position(
 ) -> float:
     """Score at position ``floor(n * percent / 100)`` of the ordered list.
 
-    Positions count from 1; ``zero_based`` counts from 0, one row further on.
+    Positions count from 1; ``zero_based`` counts from 0, one row further on.  The
+    scores are worked out once and held while they are counted and narrowed down.
     """
-    n = df.filter(F.col(column).isNotNull()).count()
-    rank = int(n * percent // 100) + (1 if zero_based else 0)
-    return order_statistic(df, column, max(rank, 1), ascending)
+    scores = _scores(df, column, ascending).persist()
+    try:
+        total = scores.count()
+        rank = max(1, int(total * percent // 100) + (1 if zero_based else 0))
+        if total - rank < rank and total - rank < _SORT_AT_MOST:
+            value = -_end_of(scores.select((-F.col("s")).alias("s")), total - rank + 1).v
+        else:
+            value = _select(scores, rank, total)
+        return value if ascending else -value
+    finally:
+        scores.unpersist()
 
 
 def top_rows(df: DataFrame, condition: Column, score: str, order: Sequence[str], limit: int = 10) -> DataFrame:

@@ -310,8 +310,7 @@ def outlier_degree_detector(
     with held(chain.transform(normal_train)) as features:
         centers = (trainer or library(20, runs=10, tol=1e-6))(features, k)
         degrees = features.select(threshold.outlier_degree(F.col("features"), centers.matrix).alias("degree"))
-        with held(degrees):
-            cut = threshold.percent_position(degrees, "degree", percent)
+        cut = threshold.percent_position(degrees, "degree", percent)
     scored = chain.transform(test).withColumn("degree", threshold.outlier_degree(F.col("features"), centers.matrix))
     judged = evaluate.judged_by_score(-F.col("degree"), -cut)
     return scored.withColumn("outcome", evaluate.outcome(layout.is_normal(), judged))
@@ -349,8 +348,7 @@ def _fit_lof(features, k, min_pts, percent, weighted, trainer, fixed=None, ascen
     model = centroid_lof.fit(centers.matrix, min_pts, sizes)
     if fixed is not None:
         return model, fixed
-    with held(model.score(features).select("lof")) as scores:
-        return model, threshold.percent_position(scores, "lof", percent, ascending)
+    return model, threshold.percent_position(model.score(features), "lof", percent, ascending)
 
 
 def two_stage_lof_detector(

@@ -75,6 +75,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that come from fewer files than there are cores, dealt out to all cores.
+
+    For small inputs that an iterative fit reads many times or that go through Arrow
+    functions; an input of many files is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package as a zip, once per application."""
     app = spark.sparkContext.applicationId
