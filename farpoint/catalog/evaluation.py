@@ -121,15 +121,10 @@ _GRID = _sql_grid()
 
 
 def grid(spark, sf_dir):
-    """All thresholds for every k; each k is one pass over the rows."""
+    """All models and all thresholds in one pass over the rows."""
     df = stored_lines(spark, sf_dir)
-    result = None
-    for k in _GRID_KS:
-        centers = kmeans.lloyd(df, kmeans.first_rows(df, k, ["id"]), 2)
-        table_ = evaluate.threshold_grid(centers.assign(df), F.col("sq_distance"), F.col("label") == "normal.", _EPSILONS)
-        table_ = table_.select(F.lit(k).alias("k"), "*")
-        result = table_ if result is None else result.unionAll(table_)
-    return result
+    models = {k: kmeans.lloyd(df, kmeans.first_rows(df, k, ["id"]), 2).matrix for k in _GRID_KS}
+    return evaluate.model_grid(df, models, F.col("label") == "normal.", _EPSILONS)
 
 
 @query("e7_threshold_grid", f"{_GRID} SELECT * EXCLUDE (noclass) FROM ({sql_rates('judged', by='k, epsilon')})")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farpoint.functions import vectors
+
 OUTCOMES = ("TP", "FP", "TN", "FN")
 
 
@@ -103,6 +106,25 @@ def threshold_grid(
     return rates(wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*"))
 
 
+def model_grid(
+    df: DataFrame,
+    models: Mapping[int, np.ndarray],
+    is_normal: Column,
+    thresholds: Sequence[float],
+    features: str = "features",
+    positive: str = "normal",
+) -> DataFrame:
+    """:func:`threshold_grid` for several sets of centres, named by their k: one pass over
+    the rows for all models and all thresholds."""
+    names = F.array(*[F.lit(int(k)) for k in models])
+    found = df.select(
+        is_normal.alias("_normal"), vectors.nearest_distances(F.col(features), list(models.values())).alias("_d")
+    )
+    found = found.select("_normal", F.posexplode("_d").alias("_at", "_score"))
+    found = found.withColumn("k", names[F.col("_at")])
+    return threshold_grid(found, F.col("_score"), F.col("_normal"), thresholds, ["k"], positive)
+
+
 def write_run_reports(table: DataFrame, path: str, run: Column, mode: str = "errorifexists") -> None:
     """One folder of text per run, with a line per counter: ``TP is : 57685``."""
     lines = F.array(*[F.concat(F.lit(f"{o} is : "), F.col(o.lower()).cast("string")) for o in OUTCOMES])

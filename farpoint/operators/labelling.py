@@ -104,19 +104,23 @@ def train_sub(
     if not parents:
         return {}
     inside = assigned.filter(F.col("cluster").isin([int(p) for p in parents])).select("cluster", features, *order)
-    sub: dict[int, list] = {}
-    for row in first_per_group(inside, "cluster", order, k).orderBy("cluster", *order).collect():
-        sub.setdefault(row.cluster, []).append(row[features])
-    centers = {p: np.array(rows, dtype=float) for p, rows in sub.items()}
-    for _ in range(iterations):
-        moved = {p: m.copy() for p, m in centers.items()}
-        for row in _sub_sums(inside.select("cluster", features), centers).collect():
-            moved[row.cluster][row.sub] = np.asarray(row.total) / row.n
-        still = all(np.array_equal(moved[p], centers[p]) for p in centers)
-        centers = moved
-        if still:
-            break
-    return centers
+    inside.persist()
+    try:
+        sub: dict[int, list] = {}
+        for row in first_per_group(inside, "cluster", order, k).orderBy("cluster", *order).collect():
+            sub.setdefault(row.cluster, []).append(row[features])
+        centers = {p: np.array(rows, dtype=float) for p, rows in sub.items()}
+        for _ in range(iterations):
+            moved = {p: m.copy() for p, m in centers.items()}
+            for row in _sub_sums(inside.select("cluster", features), centers).collect():
+                moved[row.cluster][row.sub] = np.asarray(row.total) / row.n
+            still = all(np.array_equal(moved[p], centers[p]) for p in centers)
+            centers = moved
+            if still:
+                break
+        return centers
+    finally:
+        inside.unpersist()
 
 
 def _sub_sums(rows: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from farpoint.operators.scale import VectorScaler, fit_vectors
 from farpoint.operators.threshold import order_statistic
 
 _MODEL_BYTES = 64 * 1024 * 1024
+_CHUNK_ROWS = 200_000
 
 
 def score_support_vectors(
@@ -53,27 +53,26 @@ def score_support_vectors(
 
 
 def _blocked_sums(df, support, gamma, features, key, size, model_bytes) -> DataFrame:
-    per_block = max(1, model_bytes // ((size.d + 1) * 8))
-    blocks = -(-size.n // per_block)
-    chunks = max(1, -(-df.count() // 20_000))
-    vectors_by_block = support.select("center", "alpha").withColumn(
-        "block", F.pmod(F.xxhash64("center"), F.lit(blocks)).cast("int")
-    )
-    held = vectors_by_block.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    blocks = -(-size.n // max(1, model_bytes // ((size.d + 1) * 8)))
+    chunks = -(-df.count() // _CHUNK_ROWS)
+    block = F.pmod(F.xxhash64("center"), F.lit(blocks)).cast("int")
+    held = support.select("center", "alpha", block.alias("block"))
+    held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     rows = df.select(F.col(key).alias("key"), F.col(features).alias("x"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def partial(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"key": left["key"].iloc[:0], "part": np.empty(0)})
-        x, v = np.stack(left["x"]), np.stack(right["center"])
-        return pd.DataFrame(
-            {"key": left["key"], "part": np.exp(gamma * vectors.pairwise_squared(x, v)) @ right["alpha"].to_numpy()}
-        )
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def partial(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"key": left["key"].slice(0, 0), "part": np.empty(0)})
+        x, centers, alpha = vectors.to_matrix(left["x"]), vectors.to_matrix(right["center"]), right["alpha"].to_numpy()
+        part = np.zeros(len(x))
+        for center, weight in zip(centers, alpha):
+            part += weight * np.exp(gamma * ((x - center) ** 2).sum(axis=1))
+        return pa.table({"key": left["key"], "part": part})
 
     schema = T.StructType([rows.schema["key"], T.StructField("part", T.DoubleType())])
-    parts = rows.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(partial, schema)
+    parts = rows.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInArrow(partial, schema)
     return parts.groupBy(F.col("key").alias(key)).agg(F.sum("part").alias("_sum"))
 
 

@@ -508,21 +508,17 @@ def threshold_sweep(
 ) -> DataFrame:
     """``(pca, k, epsilon, tp .. accuracy)`` for the whole grid.
 
-    A model is fitted once per (pca, k), the components once per pca, and all
-    thresholds are counted in the same pass over the test rows.
+    A model is fitted once per (pca, k) and the components once per pca; all k and all
+    thresholds of a pca are counted in one pass over the test rows.
     """
     trainer = trainer or library(10)
     tables = []
     for components in pca_ks:
         chain = fit_features(normal_train, layout, one_hot=one_hot, scaling=scaling, pca_k=components)
         with held(chain.transform(normal_train)) as features:
-            models = [(k, trainer(features, k)) for k in ks]
-        projected = chain.transform(test)
-        for k, centers in models:
-            grid = evaluate.threshold_grid(
-                centers.assign(projected), F.col("sq_distance"), layout.is_normal(), epsilons
-            )
-            tables.append(grid.select(F.lit(components).alias("pca"), F.lit(k).alias("k"), "*"))
+            models = {k: trainer(features, k).matrix for k in ks}
+        grid = evaluate.model_grid(chain.transform(test), models, layout.is_normal(), epsilons)
+        tables.append(grid.select(F.lit(components).alias("pca"), "*"))
     result = tables[0]
     for table in tables[1:]:
         result = result.unionAll(table)

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+_LOCAL_SCRATCH: dict[str, tempfile.TemporaryDirectory] = {}
 _SHIPPED: set[str] = set()
 
 
@@ -53,9 +53,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = _LOCAL_SCRATCH.get(app)
-        if root is None:
-            root = _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="farpoint-")
+        if app not in _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH[app] = tempfile.TemporaryDirectory(prefix="farpoint-", ignore_cleanup_errors=True)
+        root = _LOCAL_SCRATCH[app].name
     return f"{root.rstrip('/')}/farpoint/{app}"
 
 
@@ -75,6 +75,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's tables in the shared folder, once its results are used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows that come from fewer files than there are cores, dealt out to all cores.
 

@@ -71,8 +71,9 @@ def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame
     """``(line_no, value)`` with 1-based numbers in path, then file order.
 
     A scan task reads a byte range of one file front to back, so a row's number is the
-    number of rows in all earlier ranges plus its position in its own.  Only the table
-    of ranges is ordered; the rows are neither shuffled nor sorted.
+    number of rows in all earlier ranges plus its position in its own.  Two scans; only
+    the table of ranges is ordered, the rows are neither shuffled nor sorted.  Should
+    the files change between the scans, the numbering raises.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -80,18 +81,21 @@ def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("seq"),
     )
-    lines = materialize(lines, "numbered-lines")
     ranges = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    ranges = materialize(ranges, "line-ranges")
     per_file = ranges.groupBy("file").agg(F.sum("n").alias("file_n"))
     file_offsets = per_file.withColumn("file_offset", _running_total("file_n", Window.orderBy("file")))
     in_file = Window.partitionBy("file").orderBy("start")
     offsets = (
         ranges.withColumn("range_offset", _running_total("n", in_file))
         .join(file_offsets.drop("file_n"), "file")
-        .select("file", "start", "first_seq", (F.col("range_offset") + F.col("file_offset")).alias("offset"))
+        .select("file", "start", "n", "first_seq", (F.col("range_offset") + F.col("file_offset")).alias("offset"))
     )
-    number = F.col("offset") + F.col("seq") - F.col("first_seq") + 1
-    return lines.join(offsets, ["file", "start"]).select(number.alias("line_no"), "value")
+    position = F.col("seq") - F.col("first_seq")
+    number = F.when((position >= 0) & (position < F.col("n")), F.col("offset") + position + 1).otherwise(
+        F.raise_error(F.lit("input changed while its lines were numbered")).cast("long")
+    )
+    return lines.join(offsets, ["file", "start"], "left").select(number.alias("line_no"), "value")
 
 
 def _running_total(column: str, window) -> Column:
