@@ -394,7 +394,7 @@ def exact_lof_report(
 
     ``rule`` is ``distinct`` (all rows at the k smallest distances) or ``heap``."""
     model = exact_lof.fit(train, min_pts, rule, key)
-    return exact_lof.report(model.score(test, key), model.train_scores, key, percent)
+    return exact_lof.report(model.score(test), model.train_scores, key, percent)
 
 
 # --- one-class SVM -----------------------------------------------------------
