@@ -119,6 +119,15 @@ def nearest(rows: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # --- Arrow UDFs: one array against a model -----------------------------------
 
 
+def once(function, *columns: Column) -> Column:
+    """Apply an Arrow UDF so that the plan holds it once.
+
+    Spark copies a deterministic expression into filters it derives from joins, explodes
+    and later conditions, and would run the function again for each copy.
+    """
+    return function.asNondeterministic()(*columns)
+
+
 def center_distances(features: Column, centers: np.ndarray, squared: bool = True) -> Column:
     """Array of distances from a row to every centre."""
     centers = np.asarray(centers, dtype=float)
@@ -128,7 +137,7 @@ def center_distances(features: Column, centers: np.ndarray, squared: bool = True
         out = pairwise_squared(to_matrix(column, centers.shape[1]), centers)
         return to_lists(out if squared else np.sqrt(out))
 
-    return distances(features)
+    return once(distances, features)
 
 
 def total_center_distance(features: Column, centers: np.ndarray) -> Column:
@@ -149,7 +158,7 @@ def nearest_center(features: Column, centers: np.ndarray) -> Column:
         cluster, distance = nearest(to_matrix(column, centers.shape[1]), centers)
         return pa.StructArray.from_arrays([pa.array(cluster), pa.array(distance)], names=["cluster", "sq_distance"])
 
-    return assign(features)
+    return once(assign, features)
 
 
 def nearest_distances(features: Column, models: Sequence[np.ndarray]) -> Column:
@@ -161,7 +170,7 @@ def nearest_distances(features: Column, models: Sequence[np.ndarray]) -> Column:
         rows = to_matrix(column, models[0].shape[1])
         return to_lists(np.stack([nearest(rows, m)[1] for m in models], axis=1))
 
-    return distances(features)
+    return once(distances, features)
 
 
 def affine(features: Column, matrix: np.ndarray, shift: np.ndarray | None = None) -> Column:
@@ -173,7 +182,7 @@ def affine(features: Column, matrix: np.ndarray, shift: np.ndarray | None = None
         rows = to_matrix(column, matrix.shape[0])
         return to_lists((rows if shift is None else rows - shift) @ matrix)
 
-    return product(features)
+    return once(product, features)
 
 
 def shift_and_divide(features: Column, shift: np.ndarray, divisor: np.ndarray) -> Column:
@@ -183,7 +192,7 @@ def shift_and_divide(features: Column, shift: np.ndarray, divisor: np.ndarray) -
     def scaled(column: pa.Array) -> pa.Array:
         return to_lists((to_matrix(column, len(shift)) - shift) / divisor)
 
-    return scaled(features)
+    return once(scaled, features)
 
 
 def kernel_sum(features: Column, vectors: np.ndarray, weights: np.ndarray, gamma: float) -> Column:
@@ -195,4 +204,4 @@ def kernel_sum(features: Column, vectors: np.ndarray, weights: np.ndarray, gamma
         kernel = np.exp(gamma * pairwise_squared(to_matrix(column, vectors.shape[1]), vectors))
         return pa.array(kernel @ weights)
 
-    return total(features)
+    return once(total, features)

@@ -62,7 +62,7 @@ class CentroidLof:
                 fields=[pa.field(f.name, t) for f, t in zip(SCORES.fields, _ARROW)],
             )
 
-        scored = df.withColumn("_s", factors(F.col(features)))
+        scored = df.withColumn("_s", vectors.once(factors, F.col(features)))
         return scored.withColumns({f.name: F.col(f"_s.{f.name}") for f in SCORES.fields}).drop("_s")
 
 

@@ -85,7 +85,7 @@ def assign_sub(assigned: DataFrame, sub: dict[int, np.ndarray], features: str =
                 out[mine] = vectors.nearest(x[mine], sub[p])[0]
         return pa.array(out, mask=out < 0)
 
-    return assigned.withColumn("sub", nearest_sub(F.col("cluster"), F.col(features)))
+    return assigned.withColumn("sub", vectors.once(nearest_sub, F.col("cluster"), F.col(features)))
 
 
 def train_sub(

@@ -102,7 +102,7 @@ class OneClassSvm:
                 x = (x - scaler.mean) / scaler.divisor
             return pa.array(_fourier(x, directions, phases) @ weights - rho)
 
-        return df.withColumn(output, margin(F.col(features))).withColumn("accepted", F.col(output) >= 0)
+        return df.withColumn(output, vectors.once(margin, F.col(features))).withColumn("accepted", F.col(output) >= 0)
 
 
 def _fourier(x: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:

@@ -25,6 +25,11 @@ class Components:
     def project(self, df: DataFrame, features: str = "features", output: str | None = None) -> DataFrame:
         return df.withColumn(output or features, vectors.affine(F.col(features), self.matrix, self.mean))
 
+    def after(self, shift: np.ndarray, divisor: np.ndarray) -> Components:
+        """The same projection of ``(x - shift) / divisor``, as one product per row."""
+        center = shift if self.mean is None else shift + self.mean * divisor
+        return Components(self.matrix / divisor[:, None], self.variance_share, center)
+
     def table(self, spark) -> DataFrame:
         """``(feature, component, weight)``."""
         rows = [

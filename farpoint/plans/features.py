@@ -52,10 +52,14 @@ class FeatureChain:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``features``; every raw column stays in the row."""
         out = self.encoded(df)
-        if self.scaling:
-            scaler = scale.fit_vectors(out, sumsq_cap=self.cap) if self.scaling == "own" else self.scaler
-            out = scaler.transform(out)
-        return self.components.project(out) if self.components else out
+        scaler, components = self.scaler, self.components
+        if self.scaling == "own":
+            scaler = scale.fit_vectors(out, sumsq_cap=self.cap)
+        if scaler and components:
+            return components.after(scaler.mean, scaler.divisor).project(out)
+        if scaler:
+            return scaler.transform(out)
+        return components.project(out) if components else out
 
 
 def fit_features(

@@ -122,3 +122,25 @@ def test_ragged_and_missing_features_raise(spark):
         df = spark.createDataFrame(rows, "features array<double>")
         with pytest.raises(PySparkException):
             df.select(vectors.nearest_center(F.col("features"), centers)).collect()
+
+
+def test_scaling_and_projection_in_one_step(points_df):
+    matrix = np.random.default_rng(5).normal(4, 2, size=(80, 4))
+    df = points_df(matrix)
+    scaler = scale.fit_vectors(df)
+    scaled = scaler.transform(df)
+    for centered in (False, True):
+        model = pca.fit_components(scaled, 2, centered=centered)
+        two = [r.features for r in model.project(scaled).orderBy("id").collect()]
+        one = [r.features for r in model.after(scaler.mean, scaler.divisor).project(df).orderBy("id").collect()]
+        np.testing.assert_allclose(one, two, atol=1e-9)
+
+
+def test_model_functions_stand_in_the_plan_once(points_df, capsys):
+    df = points_df(np.random.default_rng(6).normal(size=(50, 2)))
+    nearest = df.select(vectors.nearest_center(F.col("features"), np.zeros((2, 2))).alias("n")).select("n.*")
+    distances = df.select(vectors.center_distances(F.col("features"), np.zeros((2, 2))).alias("d"))
+    capsys.readouterr()
+    nearest.filter("sq_distance > 1 and cluster = 0").explain()
+    distances.select(F.explode("d")).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 2
