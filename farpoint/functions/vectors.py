@@ -123,7 +123,9 @@ def once(function, *columns: Column) -> Column:
     """Apply an Arrow UDF so that the plan holds it once.
 
     Spark copies a deterministic expression into filters it derives from joins, explodes
-    and later conditions, and would run the function again for each copy.
+    and later conditions, and would run the function again for each copy.  Functions
+    that only prepare features stay plain, so that Spark can run them and the one that
+    uses their result in the same pass over the batch.
     """
     return function.asNondeterministic()(*columns)
 
@@ -182,7 +184,7 @@ def affine(features: Column, matrix: np.ndarray, shift: np.ndarray | None = None
         rows = to_matrix(column, matrix.shape[0])
         return to_lists((rows if shift is None else rows - shift) @ matrix)
 
-    return once(product, features)
+    return product(features)
 
 
 def shift_and_divide(features: Column, shift: np.ndarray, divisor: np.ndarray) -> Column:
@@ -192,7 +194,7 @@ def shift_and_divide(features: Column, shift: np.ndarray, divisor: np.ndarray) -
     def scaled(column: pa.Array) -> pa.Array:
         return to_lists((to_matrix(column, len(shift)) - shift) / divisor)
 
-    return once(scaled, features)
+    return scaled(features)
 
 
 def kernel_sum(features: Column, vectors: np.ndarray, weights: np.ndarray, gamma: float) -> Column:
