@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from farpoint.llm import simhash_balls
-from farpoint.llm.common import table
+from farpoint.llm import histogram_shards, pivotal_mix, simhash_balls, simhash_tables
+from farpoint.llm.common import table, text_or_empty
+from farpoint.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +20,45 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return function
 
 
+@_query
+def op3_simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search: the fingerprints of ids divisible by 100 against all others (``near_fingerprints``: how many are found)."""
+    marked = materialize(simhash_tables.with_edits(table(spark, sf_dir, "documents")), "marked")
+    asked = marked.where("doc_id % 100 = 0").select(F.col("fp").alias("query")).distinct()
+    found = simhash_tables.within_radius(asked, marked.select("fp").distinct())
+    near = found.groupBy("query").agg((F.count("*") - 1).alias("near_fingerprints")).withColumnRenamed("query", "fp")
+    return marked.join(near, "fp", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash_tables.hex_digits("fp").alias("fingerprint"),
+        simhash_tables.hex_digits("edited_fp").alias("edited_fingerprint"),
+        simhash_tables.likeness("fp", "edited_fp").alias("near_edited"),
+        simhash_tables.likeness("fp", "next_fp").alias("near_next"),
+        F.when(F.col("doc_id") % 100 == 0, F.col("near_fingerprints")).alias("near_fingerprints"),
+    )
+
+
+@_query
+def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = pivotal_mix.with_copies(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+@_query
+def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return histogram_shards.with_shards(docs, shards=16).select(
+        "doc_id",
+        histogram_shards.size_bytes().alias("size"),
+        F.crc32(text_or_empty()).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @_query
 def op9_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_balls.near_duplicates(table(spark, sf_dir, "documents"))
