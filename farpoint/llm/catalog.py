@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import histogram_shards, pivotal_mix, simhash_balls, simhash_tables
+from farpoint.llm import histogram_shards, pivotal_mix, simhash_balls, simhash_tables, string_tiling, toxicity_grammar
 from farpoint.llm.common import table, text_or_empty
 from farpoint.session import materialize
 
@@ -20,6 +20,11 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return function
 
 
+@_query
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op3_simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search: the fingerprints of ids divisible by 100 against all others (``near_fingerprints``: how many are found)."""
@@ -63,3 +68,12 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_balls.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_balls.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity_grammar.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    marked = docs.withColumn("held_out", toxicity_grammar.in_held_out())
+    scored = toxicity_grammar.with_scores(marked, grammar)
+    return scored.withColumn("predicted", (F.col("score") >= toxicity_grammar.THRESHOLD).cast("int"))
