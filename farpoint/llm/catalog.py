@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import histogram_shards, pivotal_mix, simhash_balls, simhash_tables, string_tiling, toxicity_grammar
+from farpoint.llm import (
+    chat_spans,
+    histogram_shards,
+    html_wrappers,
+    pivotal_mix,
+    simhash_balls,
+    simhash_tables,
+    string_tiling,
+    toxicity_grammar,
+)
 from farpoint.llm.common import table, text_or_empty
 from farpoint.session import materialize
 
@@ -25,6 +34,11 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @_query
 def op3_simhash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search: the fingerprints of ids divisible by 100 against all others (``near_fingerprints``: how many are found)."""
@@ -64,6 +78,12 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op8_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = chat_spans.with_control_case(table(spark, sf_dir, "conversations"))
+    return chat_spans.digests(chat_spans.formatted(conversations))
+
+
 @_query
 def op9_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_balls.near_duplicates(table(spark, sf_dir, "documents"))
