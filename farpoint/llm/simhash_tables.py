@@ -160,17 +160,21 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = rows.select("doc_id", "id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"), "text")
     small = materialize(rows.select("doc_id", "id", "h", "n"), "texts")
     first = Window.partitionBy("id").orderBy("h", "n")
-    heads = small.withColumn("r", F.row_number().over(first)).where("r = 1").select("id", F.col("h").alias("head_h"))
+    heads = small.withColumn("r", F.row_number().over(first)).where("r = 1").select(
+        "id", F.col("h").alias("head_h"), F.col("n").alias("head_n")
+    )
     after = materialize(next_ids(small.select("id").distinct()), "next")
     longest = small.groupBy("id").agg(F.max("n").alias("n"))
     # for each id, the id before it and how many code points that one may want
     wanted = after.join(longest, "id").select(
         F.col("next_id").alias("id"), F.col("id").alias("before"), F.expr("n div 2").alias("want")
     )
+    # read by two joins with the same columns, so that the texts are shuffled once
     dealt = rows.drop("doc_id").repartition("id")
     pieces = (
         dealt.join(wanted.join(heads, "id"), "id")
-        .where("h = head_h")
+        # not as equations, which would become join keys and deal the texts out once more
+        .where((F.col("h").bitwiseXOR(F.col("head_h")) == 0) & (F.col("n").bitwiseXOR(F.col("head_n")) == 0))
         .select(F.col("before").alias("id"), F.substring("text", F.lit(1), F.col("want").cast("int")).alias("piece"))
         .dropDuplicates(["id"])
     )
