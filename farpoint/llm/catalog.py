@@ -11,7 +11,9 @@ from farpoint.llm import (
     chat_spans,
     histogram_shards,
     html_wrappers,
+    ordinal_quality,
     pivotal_mix,
+    revisit_asof,
     simhash_balls,
     simhash_tables,
     string_tiling,
@@ -78,6 +80,21 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = ordinal_quality.fit(docs, labels.select("doc_id", ordinal_quality.graded(labels).alias("grade")))
+    return ordinal_quality.with_grades(docs.withColumn("held_out", ordinal_quality.in_held_out()), model)
+
+
+@_query
+def op7_revisit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = revisit_asof.crawl_of(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = revisit_asof.resolved(crawl)
+    entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(entries, "\n"))
+
+
 @_query
 def op8_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = chat_spans.with_control_case(table(spark, sf_dir, "conversations"))
