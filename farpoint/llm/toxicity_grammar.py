@@ -146,8 +146,8 @@ class Grammar:
 # --- fitting -----------------------------------------------------------------
 
 
-def _counted(rows: DataFrame, wanted=None) -> dict[tuple[str, int], int]:
-    """Texts of each fold that hold an entry; ``wanted``: a broadcast set, or all that occur often enough."""
+def _counted(rows: DataFrame, wanted=None) -> DataFrame:
+    """``(entry, fold, n)``: texts of each fold that hold an entry; ``wanted``: a broadcast set of entries."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -159,10 +159,10 @@ def _counted(rows: DataFrame, wanted=None) -> dict[tuple[str, int], int]:
                     entries &= wanted.value
                 held.update((e, fold) for e in entries)
             if len(held) > 300_000:
-                yield _flushed(held)
-        yield _flushed(held)
+                yield flushed(held)
+        yield flushed(held)
 
-    def _flushed(held: Counter) -> pa.RecordBatch:
+    def flushed(held: Counter) -> pa.RecordBatch:
         batch = pa.RecordBatch.from_pydict(
             {
                 "entry": pa.array([e for e, _ in held], pa.string()),
@@ -173,38 +173,48 @@ def _counted(rows: DataFrame, wanted=None) -> dict[tuple[str, int], int]:
         held.clear()
         return batch
 
-    counted = rows.select("fold", "text").mapInArrow(counts, "entry string, fold int, n long")
-    summed = counted.groupBy("entry", "fold").agg(F.sum("n").alias("n"))
-    if wanted is None:
-        least = max(3, math.ceil(0.002 * rows.count()))
-        by_entry = summed.groupBy("entry").agg(F.collect_list(F.struct("fold", "n")).alias("folds"), F.sum("n").alias("all"))
-        summed = by_entry.where(F.col("all") >= least).select("entry", F.explode("folds").alias("f")).select("entry", "f.fold", "f.n")
-    return {(e, f): n for e, f, n in summed.collect()}  # follows the sample, which is bounded
-
-
-def _lexicon(toxic: dict, clean: dict, n_toxic: dict, n_clean: dict, without: int | None) -> dict[str, float]:
-    """Entries whose log odds, less a standard error, speak for toxicity; a fold may be left out."""
-    ones: Counter = Counter()
-    zeros: Counter = Counter()
-    for held, counts in ((ones, toxic), (zeros, clean)):
-        for (entry, fold), n in counts.items():
-            if fold != without:
-                held[entry] += n
-    n1 = sum(n for fold, n in n_toxic.items() if fold != without)
-    n0 = sum(n for fold, n in n_clean.items() if fold != without)
-    found = {"=" + w: SEED_WEIGHT for w in INSULTS}
-    least = max(3, 0.002 * n1)
-    for entry, a in ones.items():
-        if a < least:
-            continue
-        b = zeros[entry]
-        odds = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
-        error = math.sqrt(1 / (a + 0.5) + (1 if b else 0.25) / (b + 0.5))
-        if odds - error > 0.7 and a / (a + b * n1 / max(1, n0)) > 0.6:
-            found[entry] = odds - error
-        else:
-            found.pop(entry, None)  # the labels speak against the fixed word
-    return found
+    return rows.select("fold", "text").mapInArrow(counts, "entry string, fold int, n long")
+
+
+def _by_fold(counted: DataFrame, mark: str) -> DataFrame:
+    """One row per entry: texts in each fold, and in all."""
+    folds = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"{mark}_{f}") for f in range(FOLDS)]
+    return counted.groupBy("entry").agg(*folds, F.sum("n").alias(f"{mark}_all"))
+
+
+def _least(n_toxic: int) -> float:
+    """Toxic texts that an entry must be in."""
+    return max(3, 0.005 * n_toxic)
+
+
+def _lexicons(sample: DataFrame, n_toxic: dict, n_clean: dict) -> list[dict[str, float]]:
+    """Lexicons that leave out each fold, and one of all: entries whose log odds, less a standard error, speak for toxicity."""
+    context = sample.sparkSession.sparkContext
+    often = F.col("ones_all") >= _least(sum(n_toxic.values()) * (FOLDS - 1) // FOLDS)
+    toxic = materialize(_by_fold(_counted(sample.where("toxic = 1")), "ones").where(often), "toxic-entries")
+    # a text has a bounded number of frequent entries, so their number is bounded whatever the sample
+    wanted = context.broadcast(frozenset(r[0] for r in toxic.select("entry").toLocalIterator()))
+    clean = _by_fold(_counted(sample.where("toxic <> 1"), wanted), "zeros")
+    both = materialize(toxic.join(clean, "entry", "left").na.fill(0), "entries")
+    lexicons = []
+    for without in [*range(FOLDS), None]:
+        n1 = sum(n for fold, n in n_toxic.items() if fold != without)
+        n0 = sum(n for fold, n in n_clean.items() if fold != without)
+        a, b = (F.col(f"{m}_all") - (0 if without is None else F.col(f"{m}_{without}")) for m in ("ones", "zeros"))
+        odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+        error = F.sqrt(1 / (a + 0.5) + F.when(b > 0, 1.0).otherwise(0.25) / (b + 0.5))
+        speaks = (odds - error > 0.7) & (a / (a + b * n1 / max(1, n0)) > 0.6)
+        fixed = F.col("entry").isin(*["=" + w for w in INSULTS])
+        rows = both.where(a >= _least(n1)).select("entry", (odds - error).alias("weight"), speaks.alias("speaks")).where(F.col("speaks") | fixed)
+        found = {"=" + w: SEED_WEIGHT for w in INSULTS}
+        for entry, weight, for_toxic in rows.collect():
+            if for_toxic:
+                found[entry] = weight
+            else:
+                found.pop(entry)  # the labels speak against the fixed word
+        lexicons.append(found)
+    wanted.destroy()
+    return lexicons
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[float, ...]:
@@ -253,10 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n_clean = {f: n for (t, f), n in sizes.items() if t != 1}
     if not n_toxic or not n_clean:
         return Grammar({"=" + w: SEED_WEIGHT for w in INSULTS})
-    toxic = _counted(sample.where("toxic = 1"))
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(e for e, _ in toxic))
-    clean = _counted(sample.where("toxic <> 1"), wanted)
-    readers = [Grammar(_lexicon(toxic, clean, n_toxic, n_clean, f)) for f in range(FOLDS)]
+    *partial, whole = _lexicons(sample, n_toxic, n_clean)
+    readers = [Grammar(lexicon) for lexicon in partial]
     shared = docs.sparkSession.sparkContext.broadcast(readers)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +275,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     rows = sample.select("fold", "text", "toxic").mapInArrow(read, "x array<double>, toxic int").collect()
     x = np.array([r[0] for r in rows], float)
-    layer = _logistic(x, np.array([r[1] == 1 for r in rows], float))
-    return Grammar(_lexicon(toxic, clean, n_toxic, n_clean, None), layer)
+    shared.destroy()
+    return Grammar(whole, _logistic(x, np.array([r[1] == 1 for r in rows], float)))
 
 
 def with_scores(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "score") -> DataFrame:
