@@ -161,7 +161,7 @@ def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
     rows = materialize(_featured(sample).repartition(cores), "rated")
     share = {g: n for g, n in rows.groupBy("grade").count().collect()}
     total = sum(share.values())
-    below = [(sum(share.get(g, 0) for g in range(k + 1)) + 1) / (total + grades) for k in range(grades - 1)]
+    below = [(sum(share.get(g, 0) for g in range(k + 1)) + k + 1) / (total + grades) for k in range(grades - 1)]
     weights, cuts = np.zeros(BUCKETS), np.array([math.log(b / (1 - b)) for b in below])
     if not total:
         return Model(weights, cuts)

@@ -185,8 +185,9 @@ def with_copies(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    counted = with_copies(docs, **options)
-    again = fresh_name(counted, "row_copy")
-    repeated = counted.where("copies > 0").withColumn(again, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[f"`{c}`" for c in docs.columns])
+    """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs`` as they are."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    names = {c: docs.columns.index(options.pop(c, d)) for c, d in (("key", "doc_id"), ("text", "text"), ("source", "source"))}
+    counted = with_copies(docs.toDF(*plain), **options, **{c: f"c{i}" for c, i in names.items()})
+    repeated = counted.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns)])
