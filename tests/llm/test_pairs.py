@@ -143,7 +143,7 @@ def test_edits_of_nasty_rows(nasty):
     by_id = {r.doc_id: r for r in rows}
     assert by_id[1].fp == by_id[6].fp and by_id[2].fp == by_id[3].fp == by_id[4].fp == 0
     assert by_id[5].n_chars == len(LONG) and by_id[7].n_chars == 18
-    assert by_id[8].edited_sha256 == hashlib.sha256(b"one").hexdigest()
+    assert by_id[8].edited_sha256 == hashlib.sha256("oné".encode()).hexdigest()
     whole = LONG[: len(LONG) - len(LONG) // 2] + " \t\n "
     assert by_id[5].edited_sha256 == hashlib.sha256(whole.encode()).hexdigest()
     assert simhash_tables.with_edits(nasty.limit(0)).count() == 0
