@@ -29,6 +29,8 @@ from farpoint.session import materialize
 #: Rated rows that the weights are fitted on, at most.
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 15
+#: Tasks of a step, at most: the sample is bounded, and each task returns a sum of ``BUCKETS`` numbers.
+TASKS = 32
 STEPS = 40
 RATE = 0.25
 RIDGE = 1e-4
@@ -134,7 +136,7 @@ def _sums(rows: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> tuple
         yield pa.RecordBatch.from_pydict({"loss": [loss], "w": [by_weight.tobytes()], "t": [by_cut.tobytes()]})
 
     loss, by_weight, by_cut = 0.0, np.zeros(len(weights)), np.zeros(len(thresholds))
-    for part in rows.mapInArrow(summed, "loss double, w binary, t binary").toLocalIterator():  # one row a task
+    for part in rows.mapInArrow(summed, "loss double, w binary, t binary").collect():  # one row a task, ``TASKS`` at most
         loss += part[0]
         by_weight += np.frombuffer(part[1])
         by_cut += np.frombuffer(part[2])
@@ -157,8 +159,8 @@ def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
     ids = known.groupBy(F.col(key).alias("k")).agg(F.min("grade").cast("int").alias("grade"))
     chosen = ids.orderBy(F.xxhash64("k", F.lit(5)), "k").limit(most)  # a bounded sample, so it may be broadcast
     sample = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), "k")
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    rows = materialize(_featured(sample).repartition(cores), "rated")
+    tasks = min(TASKS, docs.sparkSession.sparkContext.defaultParallelism)
+    rows = materialize(_featured(sample).repartition(tasks), "rated")
     share = {g: n for g, n in rows.groupBy("grade").count().collect()}
     total = sum(share.values())
     below = [(sum(share.get(g, 0) for g in range(k + 1)) + k + 1) / (total + grades) for k in range(grades - 1)]
