@@ -17,6 +17,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice, repeat
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -46,36 +49,42 @@ def _step(x: float, parts: int = 10) -> int:
     return min(parts, int(x * parts))
 
 
+@lru_cache(1)
+def _letter_kinds() -> np.ndarray:
+    """1 for every code point that is a letter, 2 more for a capital."""
+    return np.fromiter((c.isalpha() + 2 * c.isupper() for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
+def _group(mark: str, counts: dict[str, int], weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of one kind of feature; the values have the length ``weight``."""
+    start = zlib.crc32(mark.encode())
+    places = np.fromiter(map(zlib.crc32, map(str.encode, counts), repeat(start)), np.int64, len(counts))
+    logs = np.log1p(np.fromiter(counts.values(), float, len(counts)))
+    return places % BUCKETS, logs * (weight / (math.sqrt(logs @ logs) or 1.0))
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (distinct, sorted) and values: words, word shapes and coarse measures of the whole text."""
     words = text.split()
-    held: dict[int, float] = {}
-
-    def add(groups: Counter, mark: str, weight: float) -> None:
-        size = math.sqrt(sum(math.log1p(n) ** 2 for n in groups.values())) or 1.0
-        for name, n in groups.items():
-            at = zlib.crc32((mark + name).encode("utf-8", "surrogatepass")) % BUCKETS
-            held[at] = held.get(at, 0.0) + weight * math.log1p(n) / size
-
-    shapes = _DIGIT.sub("9", _UPPER.sub("A", _LOWER.sub("a", text))).split()
-    add(Counter(words), "w", 1.0)
-    add(Counter(shapes), "s", 1.0)
-    n, lines = max(1, len(words)), [line for line in text.split("\n") if line.strip()]
     counts = Counter(words)
-    letters = sum(map(str.isalpha, text))
+    shapes = Counter(_DIGIT.sub("9", _UPPER.sub("A", _LOWER.sub("a", text))).split())
+    n, lines = max(1, len(words)), [line for line in text.split("\n") if line.strip()]
+    kinds = np.bincount(_letter_kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], minlength=4)
+    letters, capitals = int(kinds[1] + kinds[3]), int(kinds[2] + kinds[3])
     measures = (
         ("kinds", _step(len(counts) / n)),
         ("top", _step(max(counts.values(), default=0) / n)),
         ("lines", _step(len(set(lines)) / max(1, len(lines)))),
         ("letters", _step(letters / max(1, len(text)), 20)),
-        ("upper", _step(sum(map(str.isupper, text)) / max(1, letters))),
+        ("upper", _step(capitals / max(1, letters))),
         ("length", min(20, n.bit_length())),
         ("word", min(20, int(len(text) / n))),
-        ("again", _step(sum(a == b for a, b in zip(words, words[1:])) / n)),
+        ("again", _step(sum(map(eq, words, islice(words, 1, None))) / n)),
     )
-    add(Counter({f"{k}={v}": 1 for k, v in measures}), "m", 1.5)
-    buckets = np.array(sorted(held), np.int32)
-    return buckets, np.array([held[b] for b in buckets.tolist()], np.float32)
+    groups = (_group("w", counts, 1.0), _group("s", shapes, 1.0), _group("m", {f"{k}={v}": 1 for k, v in measures}, 1.5))
+    places, values = map(np.concatenate, zip(*groups))
+    buckets, inverse = np.unique(places, return_inverse=True)
+    return buckets.astype(np.int32), np.bincount(inverse, values).astype(np.float32)
 
 
 @dataclass
