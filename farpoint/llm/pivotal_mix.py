@@ -5,7 +5,11 @@ The fractions are rounded two at a time: of a pair one gains and the other loses
 number of words, the direction being drawn so that expectations hold, until one of the two is
 taken or left.  The other goes on to the next pair.  A bucket of documents leaves one
 fraction; the fractions of the buckets are paired in the next round, and so on up a tree, so
-that no task sees a whole source and a source ends within one document of its target.
+that no task sees a whole source.
+
+The few documents that weigh much in their source are settled before the others, each paired
+with all that is lighter, whose fractions move together.  What is left at the end is light, so
+a source ends close to its target even if one document is a good part of it.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from farpoint.session import materialize
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Fractions that a node of the tree pairs, on average.
 FAN_IN = 48
+#: Rows with at least this share of their stratum's words are settled first: so few that one group holds them.
+HEAVY = 1 / 256
+#: Strata up to so many are sent to all tasks: one short row each.
+FEW_STRATA = 10_000
 
 
 def size_words(text: str = "text") -> Column:
@@ -103,21 +111,90 @@ def _paired(items: Column) -> Column:
     return F.aggregate(F.slice(items, 2, F.size(items)), start, step)
 
 
-def rounded(items: DataFrame, seed: int = 42, fan_in: int = FAN_IN) -> DataFrame:
+def _against_rest(items: Column, words: Column, mass: Column) -> Column:
+    """Pivotal rounding of a stratum's heavy ``items``, heaviest first, each paired with all that is lighter.
+
+    ``words`` and ``mass`` (words times part) are those of the whole stratum.  Gives
+    ``struct<slope, base, words, mass, done>``: a light row's part becomes ``slope * part + base``.
+    """
+
+    def step(state: Column, item: Column) -> Column:
+        def moved(x: Column) -> Column:
+            up = item.luck * (x.rise + x.fall) < x.fall
+            keeps = 1 - F.when(up, F.when(x.rest > 0, x.rise / x.rest).otherwise(0.0)).otherwise(F.when(x.free > 0, x.fall / x.free).otherwise(0.0))
+            share = F.when(up, x.part + x.rise / item.words).otherwise(x.part - x.fall / item.words)
+            return F.struct(
+                (state.slope * keeps).alias("slope"),
+                (state.base * keeps + F.when(up, 0.0).otherwise(1 - keeps)).alias("base"),
+                (state.words - item.words).alias("words"),
+                F.when(up, x.rest - x.rise).otherwise(x.rest + x.fall).alias("mass"),
+                F.array_append(state.done, F.struct(item.key.alias("key"), (share >= 0.5).alias("up"))).alias("done"),
+            )
+
+        part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), state.slope * item.part + state.base))
+        lighter = state.words - item.words
+
+        def paired(x: Column) -> Column:
+            sides = F.struct(
+                x.part.alias("part"), x.rest.alias("rest"), (lighter - x.rest).alias("free"),
+                F.least((1 - x.part) * item.words, x.rest).alias("rise"),
+                F.least(x.part * item.words, lighter - x.rest).alias("fall"),
+            )
+            return _let(sides, moved)
+
+        rest = F.least(lighter, F.greatest(F.lit(0.0), state.mass - part * item.words))
+        return _let(F.struct(part.alias("part"), rest.alias("rest")), paired)
+
+    none = F.filter(F.transform(items, lambda x: F.struct(x.key.alias("key"), (x.part > 2).alias("up"))), lambda x: x.up)
+    start = F.struct(F.lit(1.0).alias("slope"), F.lit(0.0).alias("base"), words.alias("words"), mass.alias("mass"), none.alias("done"))
+    return F.aggregate(items, start, step)
+
+
+def _beside(items: DataFrame, strata: DataFrame, few: bool) -> DataFrame:
+    """``items`` with the columns of their stratum's row in ``strata``."""
+    named = strata.withColumnRenamed("stratum", "s")
+    return items.join(F.broadcast(named) if few else named, F.col("stratum").eqNullSafe(F.col("s"))).drop("s")
+
+
+def _heavy_first(items: DataFrame, seed: int, heavy: float) -> tuple[DataFrame, DataFrame]:
+    """The light rows with the parts that are left to them, and what has been settled."""
+    totals = items.groupBy("stratum").agg(F.sum("words").alias("all"), F.sum(F.col("part") * F.col("words")).alias("mass"))
+    totals = materialize(totals, "strata")
+    few = totals.count() <= FEW_STRATA
+    luck = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(-1)), F.lit(1 << 30)) / float(1 << 30)
+    entry = F.struct((-F.col("words")).alias("rank"), "key", "part", "words", luck.alias("luck"))
+    great = _beside(items, totals, few).where(F.col("words") >= heavy * F.col("all"))
+    gathered = great.groupBy("stratum", "all", "mass").agg(F.array_sort(F.collect_list(entry)).alias("items"))  # 1 / heavy rows at most
+    worked = materialize(gathered.select("stratum", _against_rest(F.col("items"), F.col("all"), F.col("mass")).alias("r")), "heavy")
+    moves = worked.select(F.col("stratum").alias("t"), "r.slope", "r.base")
+    known = totals.join(moves, F.col("stratum").eqNullSafe(F.col("t")), "left").select(
+        "stratum", "all", F.coalesce("slope", F.lit(1.0)).alias("slope"), F.coalesce("base", F.lit(0.0)).alias("base")
+    )
+    shifted = _beside(items, known, few).where(F.col("words") < heavy * F.col("all"))
+    light = shifted.select("stratum", "key", (F.col("slope") * F.col("part") + F.col("base")).alias("part"), "words")
+    whole = (F.col("part") < 1e-9) | (F.col("part") > 1 - 1e-9)
+    settled = worked.select("stratum", F.explode("r.done").alias("d")).select("stratum", "d.key", "d.up")
+    return light.where(~whole), settled.unionByName(light.where(whole).select("stratum", "key", (F.col("part") > 0.5).alias("up")))
+
+
+def rounded(items: DataFrame, seed: int = 42, fan_in: int = FAN_IN, heavy: float = HEAVY) -> DataFrame:
     """``(stratum, key, up)`` for every row of ``items (stratum, key, part, words)``, 0 < part < 1, words > 0.
 
     Words times ``up`` add up to words times ``part`` in every stratum, but for the last
-    fraction, which goes to the nearer end; before it each row is up with chance ``part``.
-    Rows of like weight are paired first, weight classes last, so the last fraction is light.
+    fraction, which goes to the nearer end; before it each row is up with chance ``part`` where
+    the parts of a stratum are equal, as in a mix by source.  Rows of at least ``heavy`` of a
+    stratum's words come first, then rows of like weight, weight classes last, so the last
+    fraction is light.
     Keys are unique in a stratum.  The draws depend on keys and seed alone, so reruns agree.
     """
     same_class = F.floor(2 * F.log2("words")).cast("int")
-    left, settled, level = items.withColumn("class", same_class), [], 0
+    light, first = _heavy_first(items, seed, heavy)
+    left, settled, level = materialize(light.withColumn("class", same_class), "light"), [first], 0
     while True:
         sizes = left.groupBy("stratum", "class").agg(F.ceil(F.count("*") / fan_in).alias("buckets"))
         most = sizes.agg(F.max("buckets")).first()[0]
         if most is None:
-            return items.select("stratum", "key", (F.col("part") > 1).alias("up"))
+            return first
         node = F.pmod(F.xxhash64("key", F.lit(-seed), F.lit(level)), F.col("buckets"))
         same = F.col("stratum").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))
         dealt = left.join(sizes.select(F.col("stratum").alias("s"), F.col("class").alias("c"), "buckets"), same)

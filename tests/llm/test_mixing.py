@@ -65,6 +65,25 @@ def test_rounding_keeps_expectations(spark):
     assert 0.24 < sum(light) / len(light) < 0.36
 
 
+def test_a_heavy_row_is_paired_with_all_others(spark):
+    light = [(f"s{s}", i, 0.3, 10.0) for s in range(200) for i in range(1, 41)]
+    heavy = [(f"s{s}", -s - 1, 0.3, 90.0) for s in range(200)]  # a draw depends on the key
+    beyond = [("beyond", 0, 0.5, 1_000.0), ("beyond", 1, 0.5, 10.0)]
+    many = [("many", 0, 0.3, 5_000.0)] + [("many", i, 0.3, 10.0) for i in range(1, 2_001)]
+    items = spark.createDataFrame(light + heavy + beyond + many, "stratum string, key long, part double, words double")
+    done = pivotal_mix.rounded(items).collect()
+    assert Counter((r.stratum, r.key) for r in done) == Counter((r[0], r[1]) for r in light + heavy + beyond + many)
+    words = {(r[0], r[1]): r[3] for r in light + heavy + beyond + many}
+    taken = Counter()
+    for r in done:
+        taken[r.stratum] += words[r.stratum, r.key] * r.up
+    assert all(abs(taken[f"s{s}"] - 147) <= 5 for s in range(200))
+    assert abs(taken["many"] - 7_500) <= 5 and taken["beyond"] in (0, 10, 1_000, 1_010)
+    assert 0.2 < sum(r.up for r in done if r.key < 0) / 200 < 0.4
+    few = pivotal_mix.rounded(items.where("false")).collect()
+    assert few == []
+
+
 def test_mix_of_nasty_rows(nasty):
     counted = pivotal_mix.with_copies(nasty)
     rows = counted.collect()
