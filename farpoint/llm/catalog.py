@@ -20,10 +20,10 @@ from farpoint.llm import (
     toxicity_grammar,
 )
 from farpoint.llm.common import table, text_or_empty
+from farpoint.llm.oracles import ORACLES  # noqa: F401
 from farpoint.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

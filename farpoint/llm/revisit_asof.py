@@ -113,7 +113,8 @@ def crawl_of(pages: DataFrame) -> DataFrame:
     """
     at = F.lit(1_700_000_000) + F.pmod(F.col("page_id") * 7919, F.lit(1_000_003))
     tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    when = lambda t: F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd HH:mm:ss")
+    start = F.lit("1970-01-01").cast("timestamp_ntz")  # dates are in UTC whatever the session's zone is
+    when = lambda t: F.date_format(start + F.make_dt_interval(secs=t), "yyyy-MM-dd HH:mm:ss")
     response = pages.select(
         F.concat(F.lit("r"), "page_id").alias("record_id"), "url", at.alias("time"), F.lit("response").alias("kind"),
         F.create_map(F.lit("ETag"), tag, F.lit("Last-Modified"), when(at), F.lit("Content-Type"), F.lit("text/html"),
