@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from farpoint.llm.common import WORD, fresh_name, text_or_empty
+from farpoint.llm.common import WORD, fresh_name, text_or_empty, wide_hash
 from farpoint.session import materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -236,7 +236,7 @@ def with_copies(
     docs = docs.drop(*names)
     mark = fresh_name(docs, "row_unit")
     sized = docs.withColumn("size", size_words(text))
-    unit = F.xxhash64(F.col(key), F.col(source), F.col("size"))
+    unit = wide_hash(F.col(key), F.col(source), F.col("size"))
     small = materialize(sized.select(F.col(source).alias("source"), unit.alias("key"), "size"), "sizes")
     targets = materialize(source_targets(small, weights, share, most), "targets")
     by_source = small.join(

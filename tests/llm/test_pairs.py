@@ -103,6 +103,13 @@ def test_one_of_each_keeps_a_whole_row(nasty):
     assert simhash_balls.one_of_each(nasty.limit(0)).count() == 0
 
 
+def test_rows_that_differ_only_in_where_nulls_are(spark):
+    rows = [(1, None, "a", {"k": 1}), (1, "a", None, {"k": 1}), (2, "b c", None, {"k": 1}), (2, "b c", None, {"k": 1}), (2, "b c", None, {"k": 2})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra map<string,int>")
+    kept = [(r.doc_id, r.text, r.lang) for r in simhash_balls.one_of_each(docs).collect()]
+    assert sorted(kept, key=repr) == [(1, "a", None), (1, None, "a"), (2, "b c", None)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)] + [(200, 200 + i) for i in range(1, 50)]
     rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()

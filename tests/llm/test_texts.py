@@ -125,6 +125,11 @@ def test_wrappers_have_optional_and_repeated_groups():
     assert "<footer>#" in text and "<footer>#PCDATA" not in text
 
 
+def test_stray_quotes_in_tags():
+    page = """<article><p title=it's>One</p><p class="a"">Two</p><p title = 'a>b' id="c>d">Three</p><p a="open>Four</p></article>"""
+    assert html_wrappers.main_text(page, html_wrappers.Places()) == "One\nTwo\nThree\nFour"
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "no tags at all", "</p></div>", "<p", "<!-- open", "<script>x", "<div>" * 300 + "deep", "&am &#0; &#x110000;"])
 def test_odd_pages(spark, html):
     pages = spark.createDataFrame([(1, None, html), (1, None, html), (None, "x", html)], "page_id long, url string, html string")
