@@ -32,7 +32,7 @@ from farpoint.session import materialize
 #: Wrappers are sent to all tasks up to so many bytes; beyond it they are joined by host.
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
-#: Texts that are the same on so many pages of a host are the template's.
+#: A text is the template's where so many different pages of a host hold it, and none holds another.
 TEMPLATE_PAGES = 3
 
 _TOKEN = re.compile(
@@ -146,21 +146,41 @@ def read(page: str) -> Element:
 
 # --- wrappers ----------------------------------------------------------------
 # A node is [label, least, most, text, children]: least 0 or 1, most 1 or 2 (two: any number).
-# A text slot has the label "#": its text is a checksum, or None where texts differ.
+# A text slot has the label "#": its text is a checksum, or None where texts differ.  In place of
+# children it has the checksums of the pages that held the text, ``TEMPLATE_PAGES`` at most.
 
 Node = list
 
 
+def checksum(root: Element) -> int:
+    """Checksum of a page's tags and texts: copies of a page are one page, whatever their scripts and comments."""
+    parts: list[str] = []
+
+    def walk(element: Element) -> None:
+        for child in element.children:
+            if isinstance(child, str):
+                parts.extend(child.split())
+            else:
+                parts.append(f"<{child.label}>")
+                walk(child)
+                parts.append("</>")
+
+    walk(root)
+    return zlib.crc32(" ".join(parts).encode())
+
+
 def page_wrapper(root: Element) -> Node:
     """The wrapper of one page: its stream with what stands again next to itself made a group."""
 
+    page = checksum(root)
+
     def node(element: Element) -> Node:
         children = []
         for child in element.children:
             if isinstance(child, str):
                 words = " ".join(child.split())
                 if words:
-                    children.append(["#", 1, 1, zlib.crc32(words.encode()), []])
+                    children.append(["#", 1, 1, zlib.crc32(words.encode()), [page]])
             elif child.label != "br":
                 children.append(node(child))
         return [element.label, 1, 1, None, folded(children)]
@@ -189,8 +209,12 @@ def merged(a: Node, b: Node) -> Node:
     """The least node, without alternatives, that covers two of one label."""
     if a == b:
         return [*a]
-    text = a[3] if a[3] == b[3] else None
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), text, aligned(a[4], b[4])]
+    least, most = min(a[1], b[1]), max(a[2], b[2])
+    if a[0] != "#":
+        return [a[0], least, most, None, aligned(a[4], b[4])]
+    if a[3] is None or a[3] != b[3]:
+        return ["#", least, most, None, []]
+    return ["#", least, most, a[3], sorted({*a[4], *b[4]})[:TEMPLATE_PAGES]]
 
 
 def aligned(xs: list[Node], ys: list[Node]) -> list[Node]:
@@ -228,10 +252,10 @@ def aligned(xs: list[Node], ys: list[Node]) -> list[Node]:
 
 def expression(node: Node) -> str:
     """A wrapper as it is written in the literature: ``( )?``, ``( )+`` and ``#PCDATA``."""
-    inside = " ".join(expression(n) for n in node[4])
     if node[0] == "#":
         body = "#PCDATA" if node[3] is None else f"#{node[3]:08x}"
     else:
+        inside = " ".join(expression(n) for n in node[4])
         body = f"<{node[0]}>{inside}</{node[0].split('.')[0]}>" if node[0] else inside
     mark = {(1, 1): "", (0, 1): "?", (1, 2): "+", (0, 2): "*"}[(node[1], node[2])]
     return f"({body}){mark}" if mark else body
@@ -289,7 +313,7 @@ class Places:
     fixed: dict = field(default_factory=dict)
 
     @classmethod
-    def of(cls, wrapper: str | None, pages: int) -> Places:
+    def of(cls, wrapper: str | None) -> Places:
         if not wrapper:
             return cls()
         main, fixed = set(), {}
@@ -301,13 +325,13 @@ class Places:
                 main.add(path)
             for child in node[4]:
                 if child[0] == "#":
-                    if child[3] is not None and not inside:
+                    if child[3] is not None and len(child[4]) >= TEMPLATE_PAGES and not inside:
                         fixed.setdefault(path, set()).add(child[3])
                 else:
                     walk(child, f"{path}/{child[0]}", inside)
 
         walk(json.loads(wrapper), "", False)
-        return cls(frozenset(main), fixed if pages >= TEMPLATE_PAGES else {})
+        return cls(frozenset(main), fixed)
 
 
 def main_text(page: str | None, places: Places) -> str:
@@ -376,12 +400,12 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", out: str =
     rows = small_batches(pages).select(*[f"`{c}`" for c in kept], host_of(url).alias("__host"), F.col(f"`{page}`").alias("__page"))
     shared = None
     if size <= BROADCAST_BYTES:
-        found = {r["host"]: (r["wrapper"], r["pages"]) for r in known.collect()}
+        found = {r["host"]: r["wrapper"] for r in known.collect()}
         shared = pages.sparkSession.sparkContext.broadcast(found)
-        rows = rows.withColumns({"__wrapper": F.lit(None).cast("string"), "__pages": F.lit(0).cast("long")})
+        rows = rows.withColumn("__wrapper", F.lit(None).cast("string"))
     else:
-        joined = known.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"), F.col("pages").alias("__pages"))
-        rows = rows.join(joined, "__host", "left").select(*[f"`{c}`" for c in kept], "__host", "__page", "__wrapper", "__pages")
+        joined = known.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
+        rows = rows.join(joined, "__host", "left").select(*[f"`{c}`" for c in kept], "__host", "__page", "__wrapper")
     schema = pages.select(*[f"`{c}`" for c in kept]).withColumns({out: F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     n = len(kept)
 
@@ -389,11 +413,11 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", out: str =
         places: dict[str, Places] = {}
         for batch in batches:
             out_texts = []
-            for host, body, wrapper, count in zip(*(batch.column(n + i).to_pylist() for i in range(4))):
+            for host, body, wrapper in zip(*(batch.column(n + i).to_pylist() for i in range(3))):
                 if host not in places:
                     if len(places) > 2_000:
                         places.clear()
-                    places[host] = Places.of(*(shared.value.get(host, (None, 0)) if shared else (wrapper, count or 0)))
+                    places[host] = Places.of(shared.value.get(host) if shared else wrapper)
                 out_texts.append(main_text(body, places[host]))
             lengths = pa.array([len(t) for t in out_texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out_texts, pa.string()), lengths], names=[*kept, out, "n_chars"])

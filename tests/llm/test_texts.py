@@ -116,6 +116,24 @@ def test_template_text_goes_without_an_article(spark):
     assert {r.page_id: r.text for r in html_wrappers.extracted(pages).collect()} == {i: f"Text {i}\nMore {i}" for i in range(5)}
 
 
+def texts_of(spark, pages):
+    rows = [(i, "http://h.example/", page) for i, page in enumerate(pages)]
+    found = html_wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_text_of_too_few_pages_is_not_the_templates(spark):
+    page = "<body><div><h1>T{0}</h1><p>a{0}</p>{1}</div></body>"
+    own = ["<p>b0</p>", "<blockquote>only here</blockquote><p>last here</p>", "<p>b2</p>"]
+    pages = [page.format(i, o) for i, o in enumerate(own)]
+    assert texts_of(spark, pages) == ["T0\na0\nb0", "T1\na1\nonly here\nlast here", "T2\na2\nb2"]
+    # copies of a page are one page, and a notice of three different ones is the template's
+    same = page.format(0, "<blockquote>same</blockquote>")
+    assert texts_of(spark, [same, same, same.replace("<body>", "<body><!-- x -->")]) == ["T0\na0\nsame"] * 3
+    assert texts_of(spark, [page.format(i, "<blockquote>same</blockquote>" if i < 3 else "") for i in range(5)]) == [f"T{i}\na{i}" for i in range(5)]
+    assert texts_of(spark, [page.format(i, "<blockquote>same</blockquote>" if i < 2 else "") for i in range(5)])[:2] == ["T0\na0\nsame", "T1\na1\nsame"]
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     read = lambda t: html_wrappers.page_wrapper(html_wrappers.read(t))
     a = read("<div><h1>A</h1><p>x</p><p>y</p><h2>s</h2><p>t</p><h2>u</h2><p>v</p></div><footer>f</footer>")
