@@ -8,9 +8,10 @@ that differ become a slot; texts that never differ stay as the template's own.
 its pages into one wrapper a host, and the wrappers of the tasks are aligned in two more rounds,
 so a host of very many pages is never gathered.
 
-The wrapper says where a host's main text is: in its article or main elements, or, without such,
-in what is neither a menu, header, footer, sidebar, notice, advert, form or comment nor the
-template's own text.
+A page's text is read by matching the page against its host's wrapper.  Tags, roles and names say
+which slots hold main text: those in article or main elements, or, on pages without such, all;
+never those of a menu, header, footer, sidebar, notice, advert, form or comment.  Of these slots,
+inside an article too, the ones that hold the template's own text are left out.
 """
 
 from __future__ import annotations
@@ -146,12 +147,17 @@ def read(page: str) -> Element:
 
 # --- wrappers ----------------------------------------------------------------
 # A node is [label, least, most, text, children]: least 0 or 1, most 1 or 2 (two: any number).
+# The label of an element has a "-" before it if it is beside the main text, a "+" if it holds it.
 # A text slot has the label "#": its text is a checksum, or None where texts differ.  In place of
 # children it has the checksums of the pages that held the text, ``TEMPLATE_PAGES`` at most.
 
 Node = list
 
 
+def marked(element: Element) -> str:
+    return ("-" if element.aside else "+" if element.main else "") + element.label
+
+
 def checksum(root: Element) -> int:
     """Checksum of a page's tags and texts: copies of a page are one page, whatever their scripts and comments."""
     parts: list[str] = []
@@ -183,7 +189,7 @@ def page_wrapper(root: Element) -> Node:
                     children.append(["#", 1, 1, zlib.crc32(words.encode()), [page]])
             elif child.label != "br":
                 children.append(node(child))
-        return [element.label, 1, 1, None, folded(children)]
+        return [marked(element), 1, 1, None, folded(children)]
 
     return node(root)
 
@@ -255,8 +261,8 @@ def expression(node: Node) -> str:
     if node[0] == "#":
         body = "#PCDATA" if node[3] is None else f"#{node[3]:08x}"
     else:
-        inside = " ".join(expression(n) for n in node[4])
-        body = f"<{node[0]}>{inside}</{node[0].split('.')[0]}>" if node[0] else inside
+        label, inside = node[0].lstrip("-+"), " ".join(expression(n) for n in node[4])
+        body = f"<{label}>{inside}</{label.split('.')[0]}>" if label else inside
     mark = {(1, 1): "", (0, 1): "?", (1, 2): "+", (0, 2): "*"}[(node[1], node[2])]
     return f"({body}){mark}" if mark else body
 
@@ -305,81 +311,175 @@ def _batch(held: dict[str, list]) -> pa.RecordBatch:
 # --- applying a wrapper ------------------------------------------------------
 
 
+# Where a slot is: outside of main text, in a main element (which may have its own inner articles),
+# in an article or the like, or in such an inner article.
+OUTSIDE, MAIN, ARTICLE, INNER = range(4)
+_DEPTH = (0, 1, 1, 2)
+
+
+def _region(around: int, label: str) -> int:
+    """The region that an element opens, or the one it stands in."""
+    if label[:1] == "+":
+        if around == OUTSIDE:
+            return MAIN if label[1:].split(".")[0] == "main" else ARTICLE
+        return INNER if around == MAIN else around
+    return around
+
+
+@dataclass
+class Place:
+    """A node of a wrapper as pages are matched against it."""
+
+    label: str = ""
+    region: int = OUTSIDE
+    least: int = 0
+    repeated: bool = False
+    first: int = 0  # of the repeated nodes next to it: after one of them, any may follow
+    fixed: int | None = None  # checksum of the template's own text
+    children: list[Place] = field(default_factory=list)
+
+
 @dataclass
 class Places:
-    """What a wrapper says of its slots: paths of main elements, and the template's own texts by path."""
+    """What a wrapper says of its slots; without a wrapper, pages are read by their tags alone."""
 
-    main: frozenset[str] = frozenset()
-    fixed: dict = field(default_factory=dict)
+    root: Place | None = None
 
     @classmethod
     def of(cls, wrapper: str | None) -> Places:
         if not wrapper:
             return cls()
-        main, fixed = set(), {}
 
-        def walk(node: Node, path: str, inside: bool) -> None:
-            name = node[0].split(".")[0]
-            inside = inside or name in ("article", "main")
-            if inside:
-                main.add(path)
-            for child in node[4]:
-                if child[0] == "#":
-                    if child[3] is not None and len(child[4]) >= TEMPLATE_PAGES and not inside:
-                        fixed.setdefault(path, set()).add(child[3])
-                else:
-                    walk(child, f"{path}/{child[0]}", inside)
-
-        walk(json.loads(wrapper), "", False)
-        return cls(frozenset(main), fixed)
+        def place(node: Node, around: int, first: int) -> Place:
+            label, least, most, text, children = node
+            if label == "#":
+                return Place("#", around, least, most > 1, first, text if len(children) >= TEMPLATE_PAGES else None)
+            found = Place(label, _region(around, label), least, most > 1, first)
+            start = 0
+            for at, child in enumerate(children):
+                if child[2] == 1 or at and children[at - 1][2] == 1:
+                    start = at
+                found.children.append(place(child, found.region, start))
+            return found
+
+        return cls(place(json.loads(wrapper), OUTSIDE, 0))
+
+
+def _after(place: Place, at: int) -> int:
+    """The first place that what follows a match with the place ``at`` can have."""
+    return place.first if place.repeated else at + 1
+
+
+def _missed(place: Place) -> int:
+    return int(place.least > 0 and not place.repeated)
+
+
+def matched(labels: list[str], places: list[Place]) -> list[Place | None]:
+    """The place of each of the labels, in order: as many as can have one, then as few required places left empty."""
+    out: list[Place | None] = [None] * len(labels)
+    low, i, n, m = 0, 0, len(labels), len(places)
+    while i < n and low < m and labels[i] == places[low].label:
+        here = places[low]
+        if here.repeated and (here.first != low or low + 1 < m and places[low + 1].repeated):
+            break
+        out[i] = here
+        i, low = i + 1, low + 1
+        while here.repeated and i < n and labels[i] == here.label:
+            out[i] = here
+            i += 1
+    while i < n and low < m and labels[n - 1] == places[m - 1].label and not places[m - 1].repeated:
+        n, m = n - 1, m - 1
+        out[n] = places[m]
+    if i == n or low == m:
+        return out
+    # score[r][j]: the best of the labels from r on against the places from j on
+    width = m - low
+    score = [[0] * (width + 1) for _ in range(n - i + 1)]
+    for r in range(n - i, -1, -1):
+        row, below = score[r], score[r + 1] if r < n - i else None
+        for j in range(width, -1, -1):
+            if j == width:
+                row[j] = below[j] if below else 0
+                continue
+            here = places[low + j]
+            best = row[j + 1] - _missed(here)
+            if below:
+                best = max(best, below[j])
+                if here.label == labels[i + r]:
+                    best = max(best, below[_after(here, low + j) - low] + (1 << 20))
+            row[j] = best
+    j = 0
+    for r in range(n - i):
+        while j < width:
+            here = places[low + j]
+            if here.label == labels[i + r] and score[r][j] == score[r + 1][_after(here, low + j) - low] + (1 << 20):
+                out[i + r] = here
+                j = _after(here, low + j) - low
+                break
+            if score[r][j] == score[r][j + 1] - _missed(here):
+                j += 1
+                continue
+            break
+    return out
 
 
 def main_text(page: str | None, places: Places) -> str:
-    """The blocks of the main text, joined by newlines."""
+    """The blocks of the main text, joined by newlines.
+
+    A block is left out if all its texts are the template's.  What no place of the wrapper fits
+    is read by its own tags.
+    """
     if not page:
         return ""
-    root = read(page)
-    blocks: list[str] = []
+    blocks: list[tuple[int, str]] = []  # with the depth of the region
+    deepest = 0
 
-    def walk(element: Element, path: str, keep: bool, heading: bool) -> None:
+    def walk(element: Element, place: Place | None, around: int, heading: bool, closed: bool) -> None:
+        nonlocal deepest
         parts: list[str] = []
+        own = False
+        deepest = max(deepest, _DEPTH[around])
+        met = iter(matched([label for c in element.children if (label := _label(c))], place.children)) if place is not None else None
 
         def flush() -> None:
+            nonlocal own
             words = " ".join("".join(parts).split())
             parts.clear()
-            if words and zlib.crc32(words.encode()) not in places.fixed.get(path, ()):
-                blocks.append(words)
+            if words and own:
+                blocks.append((_DEPTH[around], words))
+            own = False
 
         for child in element.children:
+            label = _label(child)
+            there = next(met) if met is not None and label else None
             if isinstance(child, str):
-                if keep and not heading:
+                if not heading:
                     parts.append(child)
-            elif child.label == "br":
+                    if label and not own:
+                        own = there is None or there.fixed is None or there.fixed != zlib.crc32(" ".join(child.split()).encode())
+            elif not label:
                 flush()
             else:
                 name = child.label.split(".")[0]
-                beside = child.aside and not (name == "header" and keep and child.label == "header")
+                beside = child.aside and child.label != "header"
                 if name in _BLOCKS or not beside:
                     flush()
                 if not beside:
                     titled = (heading or child.aside) and not re.fullmatch("h[1-6]", name)
-                    walk(child, f"{path}/{child.label}", keep, titled)
+                    shut = closed or child.aside  # no region begins beside the main text
+                    region = around if shut else there.region if there is not None else _region(around, label)
+                    walk(child, there, region, titled, shut)
         flush()
 
-    def outermost(element: Element, path: str) -> list[tuple[Element, str]]:
-        if element.main:
-            return [(element, path)]
-        found = []
-        for child in element.children:
-            if not isinstance(child, str) and not child.aside:
-                found += outermost(child, f"{path}/{child.label}")
-        return found
-
-    regions = outermost(root, "")
-    inner = [r for e, p in regions for r in (sum((outermost(c, f"{p}/{c.label}") for c in e.children if not isinstance(c, str) and not c.aside), []) if e.label.split(".")[0] == "main" else [])]
-    for element, path in inner or regions or [(root, "")]:
-        walk(element, path, True, False)
-    return "\n".join(blocks)
+    walk(read(page), places.root, OUTSIDE, False, False)
+    return "\n".join(words for depth, words in blocks if depth == deepest)
+
+
+def _label(child: Element | str) -> str:
+    """The label in a wrapper; empty for what wrappers leave out."""
+    if isinstance(child, str):
+        return "" if child.isspace() or not child else "#"
+    return "" if child.label == "br" else marked(child)
 
 
 def host_of(url: str = "url") -> Column:

@@ -134,6 +134,36 @@ def test_text_of_too_few_pages_is_not_the_templates(spark):
     assert texts_of(spark, [page.format(i, "<blockquote>same</blockquote>" if i < 2 else "") for i in range(5)])[:2] == ["T0\na0\nsame", "T1\na1\nsame"]
 
 
+def test_constant_slots_go_inside_an_article_too(spark):
+    page = "<body><{1}><h1>T{0}</h1><div class=qx7><p>Read our guide</p></div><p>a{0}</p><blockquote>quote {0}</blockquote>{2}</{3}></body>"
+    for tag in ("article", "main", "div role=main", "div itemprop=articleBody"):
+        end = tag.split()[0]
+        pages = [page.format(i, tag, "<p>Read our guide</p>" if i == 1 else f"<p>b{i}</p>", end) for i in range(4)]
+        # the same words in a slot where pages differ are the page's own
+        assert texts_of(spark, pages) == [f"T{i}\na{i}\nquote {i}\n{'Read our guide' if i == 1 else f'b{i}'}" for i in range(4)]
+        assert "Read our guide" in texts_of(spark, pages[:2])[0]
+
+
+def test_pages_are_matched_against_wrappers():
+    def places(*found):
+        out = [html_wrappers.Place(label, least=mark in ("", "+"), repeated=mark in ("+", "*"), first=at) for at, (label, mark) in enumerate(found)]
+        for a, b in zip(out, out[1:]):
+            b.first = a.first if a.repeated and b.repeated else b.first
+        return out
+
+    def at(labels, *found):
+        wanted = places(*found)
+        return [next((i for i, p in enumerate(wanted) if p is m), None) for m in html_wrappers.matched(labels.split(), wanted)]
+
+    assert at("a b c", ("a", ""), ("b", ""), ("c", "")) == [0, 1, 2]
+    assert at("a a b", ("a", "+"), ("x", "?"), ("b", "")) == [0, 0, 2]
+    assert at("p h p h p q", ("p", "+"), ("h", "+"), ("p", "?"), ("q", "")) == [0, 1, 0, 1, 2, 3]
+    assert at("x b", ("a", "?"), ("b", "?"), ("x", "?"), ("b", "")) == [2, 3]
+    assert at("z b", ("b", "?"), ("y", "?"), ("b", "")) == [None, 2]
+    assert at("b z", ("b", "?"), ("y", "?"), ("b", "")) == [0, None]
+    assert at("", ("b", "")) == [] and at("a b") == [None, None]
+
+
 def test_wrappers_have_optional_and_repeated_groups():
     read = lambda t: html_wrappers.page_wrapper(html_wrappers.read(t))
     a = read("<div><h1>A</h1><p>x</p><p>y</p><h2>s</h2><p>t</p><h2>u</h2><p>v</p></div><footer>f</footer>")
