@@ -5,7 +5,8 @@ Karp-Rabin hashes.  For every pair with a seed, matching runs are grown from the
 and verified; the longest one that overlaps no marked token is marked in both texts, again and
 again, and a run that meets marked tokens is cut to what is free.  The tiles may lie in any
 order, so a reordered passage is covered like a plain copy.  An item leaks into a document
-where its tiles cover at least ``threshold`` of its tokens.
+where its tiles cover at least ``threshold`` of its tokens.  An item shorter than a seed is looked
+up by the hash of the whole of it, and leaks where it stands whole.
 
 The benchmark is read in slices of a checked size, each of which is sent to all tasks; however
 large the benchmark, a task holds one slice, and documents are never shuffled.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -33,28 +35,45 @@ THRESHOLD = 0.5
 SLICE_BYTES = 8 << 20
 
 _TOKEN = re.compile(r"\w+")
+# Scripts without spaces: South-East Asian ones, kana, bopomofo, Han.  Each of their letters is a token, with its marks.
+_UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u30ff"
+    "\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U0003ffff"
+)
+_MARKS = "".join(c for c in map(chr, range(0x0E00, 0xAAE0)) if unicodedata.category(c) in ("Mn", "Mc") and re.match(f"[{_UNSPACED}]", c))
+_LETTER = re.compile(rf"(?:(?=[{_UNSPACED}])\w)[{_MARKS}]*|[^\W{_UNSPACED}]+")
+_MAY_BE_UNSPACED = re.compile("[\u0e00-\U0003ffff]")
 _BASE = 0x9E3779B97F4A7C15
 _PAIRS = "doc_id {key}, item_id {item}, tokens long, covered long, coverage double, tiles long, longest long"
 
 
+def tokens_of(text: str) -> list[str]:
+    """Runs of letters, digits and underscores in lower case; in scripts without spaces, letter by letter."""
+    return (_LETTER if _MAY_BE_UNSPACED.search(text) else _TOKEN).findall(text.lower())
+
+
 class SeedIndex:
-    """The seeds of some benchmark items; items shorter than a seed are never found."""
+    """The seeds of some benchmark items, and whole the items that are shorter than a seed."""
 
     def __init__(self, items: list[tuple], seed_tokens: int = SEED_TOKENS) -> None:
         self.k = seed_tokens
         self.vocabulary: dict[str, int] = {}
         self.items, self.tokens = [], []
         hashes, owners, places = [], [], []
+        short: dict[int, list[int]] = {}
         mixed = np.random.default_rng(20).integers(1, 1 << 62, 1 << 16, dtype=np.uint64)
         self._mixed = mixed | np.uint64(1)
         for item_id, text in items:
-            ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in _TOKEN.findall((text or "").lower())], np.int64)
-            if len(ids) < seed_tokens:
+            ids = np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens_of(text or "")], np.int64)
+            if not len(ids):
                 continue
-            found = self._rolling(ids)
-            hashes.append(found)
-            owners.append(np.full(len(found), len(self.items)))
-            places.append(np.arange(len(found)))
+            if len(ids) < seed_tokens:
+                short.setdefault(len(ids), []).append(len(self.items))
+            else:
+                found = self._rolling(ids, seed_tokens)
+                hashes.append(found)
+                owners.append(np.full(len(found), len(self.items)))
+                places.append(np.arange(len(found)))
             self.items.append(item_id)
             self.tokens.append(ids)
         if hashes:
@@ -63,35 +82,69 @@ class SeedIndex:
             self.hashes, self.owners, self.places = hashes[order], owners[order], places[order]
         else:
             self.hashes = np.empty(0, np.uint64)
+        #: By length: the hashes of the short items in order, and the items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, numbers in short.items():
+            found = np.concatenate([self._rolling(self.tokens[n], k) for n in numbers])
+            order = np.argsort(found, kind="stable")
+            self.short[k] = found[order], np.array(numbers)[order]
 
-    def _rolling(self, ids: np.ndarray) -> np.ndarray:
+    def _rolling(self, ids: np.ndarray, k: int) -> np.ndarray:
         """Karp-Rabin hash, modulo 2 ** 64, of every run of ``k`` ids."""
         spread = self._mixed[ids & 0xFFFF] * (ids.astype(np.uint64) + np.uint64(0x51ED27))
-        n = len(ids) - self.k + 1
+        n = len(ids) - k + 1
         out = np.zeros(n, np.uint64)
-        for j in range(self.k):
+        for j in range(k):
             out = out * np.uint64(_BASE) + spread[j : j + n]
         return out
 
-    def pairs(self, text: str) -> list[tuple[int, list[tuple[int, int, int]], int]]:
-        """``(item, tiles, tokens of the item)`` of every item that shares a seed with the text."""
+    def _ids(self, text: str) -> np.ndarray:
+        """The tokens of a text; those of no item are 0."""
         known = self.vocabulary.get
-        ids = np.array([known(t, 0) for t in _TOKEN.findall(text.lower())], np.int64)
-        if len(ids) < self.k or not len(self.hashes):
-            return []
+        return np.array([known(t, 0) for t in tokens_of(text)], np.int64)
+
+    def _hits(self, ids: np.ndarray, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where in a text a run of ``k`` tokens has one of the hashes, and which."""
+        if len(ids) < k or not len(hashes):
+            return None
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        starts = np.flatnonzero(unknown[self.k :] == unknown[: -self.k])
+        starts = np.flatnonzero(unknown[k:] == unknown[:-k])
         if not len(starts):
-            return []
-        hashes = self._rolling(ids)[starts]
-        first = np.searchsorted(self.hashes, hashes, "left")
-        count = np.searchsorted(self.hashes, hashes, "right") - first
+            return None
+        wanted = self._rolling(ids, k)[starts]
+        first = np.searchsorted(hashes, wanted, "left")
+        count = np.searchsorted(hashes, wanted, "right") - first
         hit = count > 0
         if not hit.any():
-            return []
+            return None
         starts, first, count = starts[hit], first[hit], count[hit]
         entry = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        at, owner, place = np.repeat(starts, count), self.owners[entry], self.places[entry]
+        return np.repeat(starts, count), entry
+
+    def found(self, text: str) -> list[tuple[int, list[tuple[int, int, int]], int]]:
+        """``pairs``, and the short items that stand whole in the text, each where it first does."""
+        ids = self._ids(text)
+        found = self._pairs(ids)
+        for k, (hashes, numbers) in self.short.items():
+            hits = self._hits(ids, k, hashes)
+            if hits:
+                first: dict[int, int] = {}
+                for start, number in zip(hits[0].tolist(), numbers[hits[1]].tolist()):
+                    if number not in first and np.array_equal(ids[start : start + k], self.tokens[number]):
+                        first[number] = start
+                found += [(number, [(start, 0, k)], k) for number, start in first.items()]
+        return found
+
+    def pairs(self, text: str) -> list[tuple[int, list[tuple[int, int, int]], int]]:
+        """``(item, tiles, tokens of the item)`` of every item that shares a seed with the text."""
+        return self._pairs(self._ids(text))
+
+    def _pairs(self, ids: np.ndarray) -> list[tuple[int, list[tuple[int, int, int]], int]]:
+        hits = self._hits(ids, self.k, self.hashes)
+        if not hits:
+            return []
+        at, entry = hits
+        owner, place = self.owners[entry], self.places[entry]
         found = []
         for item in np.unique(owner):
             here = owner == item
@@ -167,8 +220,9 @@ def leaks(
 
     Gives ``doc_id``, ``item_id``, the item's ``tokens``, how many are ``covered``, the
     ``coverage``, the number of ``tiles`` and the ``longest`` one.  Tokens are runs of letters,
-    digits and underscores in lower case.  Null and empty texts leak nothing; items of fewer
-    tokens than a seed are not looked for.  Repeated rows give repeated rows.
+    digits and underscores in lower case; in scripts without spaces, such as Chinese, Japanese and
+    Thai, every letter is one.  Null and empty texts leak nothing; items of fewer tokens than a
+    seed leak where they stand whole.  Repeated rows give repeated rows.
     """
     types = dict(docs.select(F.col(key).alias("k")).dtypes) | dict(benchmark.select(F.col(item).alias("i")).dtypes)
     schema = StructType.fromDDL(_PAIRS.format(key=types["k"], item=types["i"]))
@@ -182,7 +236,7 @@ def leaks(
             for batch in batches:
                 out = []
                 for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for number, tiles, tokens in index.pairs(body or ""):
+                    for number, tiles, tokens in index.found(body or ""):
                         covered = sum(t[2] for t in tiles)
                         if covered >= threshold * tokens:
                             out.append((doc_id, index.items[number], tokens, covered, covered / tokens, len(tiles), tiles[0][2]))
@@ -207,7 +261,7 @@ def without_leaks(
             index = _index_of(shared, seed_tokens)
             for batch in batches:
                 stays = [
-                    all(sum(t[2] for t in tiles) < threshold * tokens for _, tiles, tokens in index.pairs(body or ""))
+                    all(sum(t[2] for t in tiles) < threshold * tokens for _, tiles, tokens in index.found(body or ""))
                     for body in batch.column(at).to_pylist()
                 ]
                 yield batch.filter(pa.array(stays, pa.bool_()))

@@ -223,6 +223,20 @@ def test_leaks_and_reordered_passages(spark, nasty):
     assert string_tiling.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese, thai = "光合作用把光能转化为化学能", "ภาษาไทยไม่มีช่องว่างระหว่างคำ"
+    docs = spark.createDataFrame(
+        [(1, f"前言{chinese}結尾"), (2, thai), (3, "so: Forty-Two is it, forty two"), (4, "forty and two"), (5, "two"), (6, "化学能"), (7, "这里不说化能学")], "doc_id long, text string"
+    )
+    bench = spark.createDataFrame([(1, chinese), (2, thai), (3, "forty two"), (4, "forty two"), (5, "化学能"), (6, "?!"), (7, None)], "item_id long, text string")
+    rows = string_tiling.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.tokens, r.covered, r.tiles, r.longest) for r in rows) == [
+        (1, 1, 13, 13, 1, 13), (1, 5, 3, 3, 1, 3), (2, 2, 24, 24, 1, 24), (3, 3, 2, 2, 1, 2), (3, 4, 2, 2, 1, 2), (6, 5, 3, 3, 1, 3)
+    ]
+    assert sorted(r.doc_id for r in string_tiling.without_leaks(docs, bench, slice_bytes=40).collect()) == [4, 5, 7]
+    assert string_tiling.tokens_of("iPhone手机 x_1 が ไม่ naïve’s") == ["iphone", "手", "机", "x_1", "が", "ไ", "ม่", "naïve", "s"]
+
+
 def test_leaks_against_all_pairs(spark, sf_small):
     docs, bench = table(spark, sf_small, "documents"), table(spark, sf_small, "benchmark")
     rows = string_tiling.leaks(docs, bench).select("doc_id", "item_id", "covered").collect()
