@@ -136,7 +136,7 @@ class Grammar:
         weights = sorted(best.values(), reverse=True)
         root = math.sqrt(len(kinds) + 1)
         top = weights[0] if weights else 0.0
-        return [1.0, sum(weights[:12]), top, math.log1p(len(kinds)), len(weights) / root, sum(weights) / root]
+        return [1.0, sum(weights), top, math.log1p(len(kinds)), len(weights) / root, sum(weights) / root]
 
     def score(self, text: str) -> float:
         at = sum(a * b for a, b in zip(self.layer, self.features(text)))

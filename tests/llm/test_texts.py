@@ -31,6 +31,13 @@ def test_grammar_reads_clauses():
     assert 0 <= grammar.score("") < 0.1
 
 
+def test_every_matched_word_counts_in_the_sum():
+    words = [f"bad{chr(97 + i)}" for i in range(20)]
+    grammar = toxicity_grammar.Grammar({f"={w}": 1.0 + i / 10 for i, w in enumerate(words)})
+    features = grammar.features(". ".join(words))
+    assert features[1] == pytest.approx(sum(1.0 + i / 10 for i in range(20))) and features[2] == pytest.approx(2.9)
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = {r.doc_id: r.toxic for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
     rows = QUERIES["op10_toxicity_grammar"](spark, "/root/testdata/sf0.01").collect()
