@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farpoint.llm import (
     chat_spans,
+    heavy_hitter_dedup,
     histogram_shards,
     html_wrappers,
     ordinal_quality,
@@ -17,7 +18,9 @@ from farpoint.llm import (
     simhash_balls,
     simhash_tables,
     string_tiling,
+    token_alignment,
     toxicity_grammar,
+    whitening,
 )
 from farpoint.llm.common import table, text_or_empty
 from farpoint.llm.oracles import ORACLES  # noqa: F401
@@ -114,3 +117,18 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("held_out", toxicity_grammar.in_held_out())
     scored = toxicity_grammar.with_scores(marked, grammar)
     return scored.withColumn("predicted", (F.col("score") >= toxicity_grammar.THRESHOLD).cast("int"))
+
+
+@_query
+def op11_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy_hitter_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_table(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(table(spark, sf_dir, "documents"))

@@ -87,4 +87,18 @@ FROM marked
 GROUP BY conv_id
 """
 
-ORACLES = {"op7_revisit_asof": OP7_REVISIT_ASOF, "op8_chat_spans": OP8_CHAT_SPANS}
+OP11_HEAVY_HITTER_DEDUP = r"""
+SELECT doc_id,
+       max(doc_id) OVER same AS keep_id,
+       count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES = {
+    "op7_revisit_asof": OP7_REVISIT_ASOF,
+    "op8_chat_spans": OP8_CHAT_SPANS,
+    "op11_heavy_hitter_dedup": OP11_HEAVY_HITTER_DEDUP,
+}
