@@ -7,8 +7,12 @@ tokens into groups; the product of the two token-group matrices links what share
 matrices are plain compressed rows (CSR), and products go row by row after Gustavson: row i of a
 product is the sum of those rows of the second matrix that row i of the first names.
 
-How often a pair of ids is linked is counted over the corpus.  Texts are worked on in blocks of
-bounded size; a block stores the distinct pairs of each text as places in the block's own list of
+Where a space follows another character, tokens of both always end: texts fall into units there,
+a word with the space before it, that are encoded and aligned alone.  Texts are worked on in
+blocks of bounded size, each distinct unit of a block once; how often a text links two ids is one
+more product, of text-unit counts and unit-pair links.
+
+How often a pair of ids is linked is counted over the corpus.  A block stores the distinct pairs of each text as places in the block's own list of
 pairs, and only these lists meet the corpus-wide counts: a pair that occurs in every text is one
 row a block there, not one a text.
 """
@@ -16,11 +20,12 @@ row a block there, not one a text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,8 @@ BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 #: Multiplications of a product that are held at once.
 _PRODUCTS = 1 << 22
+#: Where texts fall into units: after anything but white space, before a space that isn't the last character.
+_APART = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 
 
 # --- matrices ------------------------------------------------------------------
@@ -113,10 +120,14 @@ def row_products(a: Csr, b: Csr, most: int = _PRODUCTS) -> Iterator[tuple[np.nda
 
 
 class _Side:
-    """One tokenizer: ids of texts, the bytes of its tokens, and the written ids."""
+    """One tokenizer: ids of spaced texts, the bytes of its tokens, and the written ids.
+
+    ``apart``: no token goes on from another character to a space.
+    """
 
-    def __init__(self, token_bytes: list[bytes]):
+    def __init__(self, token_bytes: list[bytes], apart: bool):
         self.token_bytes = token_bytes
+        self.apart = apart
         self.lengths = np.array([len(t) for t in token_bytes], np.int64)
         self.size = len(token_bytes)
         self.digits = np.array([len(str(i)) for i in range(self.size)], np.int64)
@@ -144,10 +155,14 @@ class ByteLevel(_Side):
         for token, i in vocabulary.items():
             known = all(c in letters for c in token)
             spelled[i] = bytes(letters[c] for c in token) if known else token.encode()
-        super().__init__(spelled)
+        settings = json.loads(file)
+        # the byte-level pattern cuts before a space that follows another character
+        cut = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+        apart = settings["normalizer"] is None and cut.items() <= (settings["pre_tokenizer"] or {}).items()
+        super().__init__(spelled, apart)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def ids(self, spaced: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(spaced, add_special_tokens=False)]
 
 
 class Pieces(_Side):
@@ -157,14 +172,15 @@ class Pieces(_Side):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_proto=file)
-        spelled = []
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            spelled.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
-        super().__init__(spelled)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        spelled = [
+            bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace("▁", " ").encode()
+            for i, name in enumerate(names)
+        ]
+        super().__init__(spelled, not any(re.search("[^▁]▁", name) for name in names))
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def ids(self, spaced: list[str]) -> list[list[int]]:
+        return self.model.encode([text[1:] for text in spaced], num_threads=1)
 
 
 @lru_cache(2)
@@ -190,13 +206,14 @@ class Files:
         return _sides(*self.shared.value)
 
 
-# --- one slice of texts ----------------------------------------------------------
+# --- one slice of units ----------------------------------------------------------
 
 
 @dataclass
 class Aligned:
-    """Tokens of several texts over one byte axis; arrays by token or, if named ``per``, by text."""
+    """Tokens of several spaced texts, or units of texts, over one byte axis."""
 
+    exact: np.ndarray  # by text: both tokenizers spell it byte for byte; else it has no tokens
     ids: tuple[np.ndarray, np.ndarray]
     per: tuple[np.ndarray, np.ndarray]  # tokens of each text
     bytes: tuple[Csr, Csr]
@@ -231,21 +248,22 @@ class Aligned:
         return [flat[start : max(start, stop - 1)] for start, stop in zip([0, *stops], stops)]
 
 
-def aligned(texts: list[str], a: _Side, b: _Side) -> Aligned:
-    """Tokens of ``texts``; a text that is empty, or that a tokenizer doesn't spell byte for byte, has none."""
+def aligned(spaced: list[str], a: _Side, b: _Side) -> Aligned:
+    """Tokens of texts that start with the space that is put before them."""
     kept: tuple[list, list] = ([], [])
-    for text, ids_a, ids_b in zip(texts, a.ids(texts), b.ids(texts)):
-        whole = f" {text}".encode()
-        exact = text != "" and a.spelled(ids_a) == whole and b.spelled(ids_b) == whole
+    exact = np.zeros(len(spaced), bool)
+    for at, (text, ids_a, ids_b) in enumerate(zip(spaced, a.ids(spaced), b.ids(spaced))):
+        whole = text.encode()
+        exact[at] = a.spelled(ids_a) == whole and b.spelled(ids_b) == whole
         for side, ids in zip(kept, (ids_a, ids_b)):
-            side.append(np.array(ids if exact else [], np.int64))
+            side.append(np.array(ids if exact[at] else [], np.int64))
     ids = tuple(np.concatenate([*side, np.empty(0, np.int64)]) for side in kept)
     per = tuple(np.array([len(i) for i in side], np.int64) for side in kept)
     rows = tuple(byte_incidence(side.lengths[i]) for side, i in zip((a, b), ids))
     ends = np.intersect1d(rows[0].indptr[1:], rows[1].indptr[1:], assume_unique=True)
     groups = tuple(group_incidence(np.searchsorted(ends, r.indptr[1:]), len(ends)) for r in rows)
     first = np.searchsorted(ends, rows[0].indptr[np.concatenate(([0], np.cumsum(per[0])))], side="right")
-    return Aligned(ids, per, rows, groups, ends, first)
+    return Aligned(exact, ids, per, rows, groups, ends, first)
 
 
 def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -293,51 +311,80 @@ _BLOCK = [
 ]
 
 
-def _block_columns(number: int, texts: list[str], a: _Side, b: _Side) -> list[pa.Array]:
-    """The columns ``_BLOCK`` of the texts of one block; equal texts are worked on once."""
+def _distinct(values: list[str]) -> tuple[list[str], np.ndarray]:
+    """Distinct values and the place of each value among them."""
     places: dict[str, int] = {}
-    of_row = np.array([places.setdefault(t, len(places)) for t in texts], np.int64)
-    distinct = list(places)
-    times = np.bincount(of_row, minlength=len(distinct))
-    measures: list[np.ndarray] = []
-    digests: list[str] = []
-    owners, pairs, links = [], [], []
-    for start, stop in _runs([len(t.encode()) for t in distinct], SLICE_BYTES):
-        part = aligned(distinct[start:stop], a, b)
-        keys, total = [], np.zeros(stop - start, np.int64)
-        texts_of_a = part.text_of(0)
+    of = np.fromiter((places.setdefault(v, len(places)) for v in values), np.int64, len(values))
+    return list(places), of
+
+
+def _unit_links(units: list[str], a: _Side, b: _Side) -> tuple[np.ndarray, np.ndarray, list[bytes], Csr, np.ndarray]:
+    """Of every unit whether it is exact, its measures and written groups; unit-pair links and the pairs."""
+    exact, measures, written, rows, pairs = [], [], [], [], []
+    for start, stop in _runs([len(u.encode()) for u in units], SLICE_BYTES):
+        part = aligned(units[start:stop], a, b)
+        owner, total = part.text_of(0), np.zeros(stop - start, np.int64)
         for i, j, _ in part.overlaps():
-            keys.append(texts_of_a[i] * (a.size * b.size) + part.ids[0][i] * b.size + part.ids[1][j])
-            total += np.bincount(texts_of_a[i], minlength=stop - start)
-        key, count = np.unique(np.concatenate([*keys, np.empty(0, np.int64)]), return_counts=True)
-        owners.append(start + key // (a.size * b.size))
-        pairs.append(key % (a.size * b.size))
-        links.append(count)
+            rows.append(start + owner[i])
+            pairs.append(part.ids[0][i] * b.size + part.ids[1][j])
+            total += np.bincount(owner[i], minlength=stop - start)
         shared = _sums_by_text(product_sizes(part.groups[0], part.groups[1].transposed()), part.per[0])
+        exact.append(part.exact)
         measures.append(np.stack([*part.per, np.diff(part.first), total, shared]))
-        digests += [hashlib.sha256(w).hexdigest() if w else "" for w in part.written(a, b)]
-    owner, pair, link = (np.concatenate(c) for c in (owners, pairs, links))
-    listed, place = np.unique(pair, return_inverse=True)
-    counts = np.bincount(place, link * times[owner], minlength=len(listed)).astype(np.int64)
+        written += part.written(a, b)
+    none = np.empty(0, np.int64)
+    listed, place = np.unique(np.concatenate([*pairs, none]), return_inverse=True)
+    ends = np.cumsum(np.bincount(np.concatenate([*rows, none]), minlength=len(units)))
+    links = Csr(np.concatenate(([0], ends)), place, np.ones(len(place), np.int64), len(listed))
+    empty = np.empty((len(_MEASURES), 0), np.int64)
+    return np.concatenate([*exact, none.astype(bool)]), np.concatenate([*measures, empty], axis=1), written, links, listed
+
+
+def _block_columns(number: int, texts: list[str], a: _Side, b: _Side) -> list[pa.Array]:
+    """The columns ``_BLOCK`` of the texts of one block; equal texts and equal units are worked on once."""
+    distinct, of_row = _distinct(texts)
+    times = np.bincount(of_row, minlength=len(distinct))
+    cut = _APART.split if a.apart and b.apart else lambda spaced: [spaced]
+    per_text = [cut(" " + text) if text else [] for text in distinct]
+    sizes = np.array([len(u) for u in per_text], np.int64)
+    units, unit = _distinct([u for found in per_text for u in found])
+    owner = np.repeat(np.arange(len(distinct)), sizes)
+    exact, measured, written, links, listed = _unit_links(units, a, b)
+
+    broken = np.bincount(owner, ~exact[unit], minlength=len(distinct)) > 0  # one such unit leaves the text without tokens
+    unit, owner = unit[~broken[owner]], owner[~broken[owner]]
+    sizes[broken] = 0
+    measures = np.stack([np.bincount(owner, m[unit], minlength=len(distinct)) for m in measured]).astype(np.int64)
+    stops = np.cumsum(sizes).tolist()
+    names = unit.tolist()
+    digests = [
+        hashlib.sha256(b";".join([written[u] for u in names[stop - size : stop]])).hexdigest() if size else ""
+        for size, stop in zip(sizes.tolist(), stops)
+    ]
+
+    often = np.bincount(unit, times[owner], minlength=len(units))
+    counts = np.bincount(links.indices, often[links.row_of_entry()], minlength=len(listed)).astype(np.int64)
     order = np.argsort(-counts, kind="stable")  # common pairs first, so that a text's places lie close
-    rank = np.empty(len(order), np.int64)
+    order = order[counts[order] > 0]
+    rank = np.zeros(len(listed), np.int64)
     rank[order] = np.arange(len(order))
-    code = (owner << 32) | rank[place]
-    sorting = np.argsort(code, kind="stable")
-    code, link = code[sorting] & 0xFFFFFFFF, link[sorting]
-    sizes = np.bincount(owner, minlength=len(distinct))
-    stops = list(accumulate(sizes.tolist()))
+    links = Csr(links.indptr, rank[links.indices], links.data, max(1, len(order)))
+    code, uses = np.unique(owner * max(1, len(units)) + unit, return_counts=True)
+    ends = np.cumsum(np.bincount(code // max(1, len(units)), minlength=len(distinct)))
+    in_text = Csr(np.concatenate(([0], ends)), code % max(1, len(units)), uses, len(units))
+    found = list(row_products(in_text, links))
+    rows, places, linked = (np.concatenate([np.empty(0, np.int64), *[f[i] for f in found]]) for i in range(3))
+    kinds = np.bincount(rows, minlength=len(distinct))
     stored = [
-        (_packed(np.diff(code[stop - size : stop], prepend=0)), _packed(link[stop - size : stop]))
-        for size, stop in zip(sizes.tolist(), stops)
+        (_packed(np.diff(places[stop - size : stop], prepend=0)), _packed(linked[stop - size : stop]))
+        for size, stop in zip(kinds.tolist(), np.cumsum(kinds).tolist())
     ]
-    numbers = np.concatenate(measures, axis=1)[:, of_row]
     n = len(texts)
     columns = [
         np.full(n, number),
-        *numbers,
+        *measures[:, of_row],
         [digests[i] for i in of_row],
-        sizes[of_row],
+        kinds[of_row],
         [stored[i][0] for i in of_row],
         [stored[i][1] for i in of_row],
         [listed[order], *[None] * (n - 1)],
@@ -434,7 +481,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", by: str = "b
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, stop in _runs([len(t.encode()) for t in texts], SLICE_BYTES):
-                part = aligned(texts[start:stop], a, b)
+                part = aligned([" " + t if t else "" for t in texts[start:stop]], a, b)
                 owner = part.text_of(0)
                 first = [np.cumsum(p) - p for p in part.per]
                 for i, j, shared in part.overlaps() if by == "bytes" else part.shared_groups():

@@ -157,7 +157,7 @@ def _brute(text, a, b):
     """Spans of both tokenizers by loops: ids, groups string, links ``(i, j, shared)``; None without tokens."""
     if not text:
         return None
-    ids = a.ids([text])[0], b.ids([text])[0]
+    ids = a.ids([f" {text}"])[0], b.ids([f" {text}"])[0]
     spans = []
     for side, tokens in zip((a, b), ids):
         at, mine = 0, []
@@ -217,6 +217,20 @@ def test_alignments_equal_brute_force(spark, files, monkeypatch, block, slice_):
     assert all(p.equals(q) for p, q in zip(kept, token_alignment._block_columns(0, [t or "" for t in TEXTS], a, b)))
 
 
+def test_units_are_encoded_as_within_their_text(files):
+    """What both tokenizers make of a text is what they make of its units, whatever stands around a space."""
+    a, b = files.sides()
+    assert a.apart and b.apart
+    rng = random.Random(7)
+    letters = [*"ab'sT1.!é你ก", " ", " ", "  ", "\n", "\t", "\u3000", "\x85", "\x1c", "\u00a0", "\u200b"]
+    for _ in range(3000):
+        text = " " + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 20)))
+        units = token_alignment._APART.split(text)
+        assert "".join(units) == text and all(u.startswith(" ") for u in units)
+        for side in (a, b):
+            assert [i for ids in side.ids(units) for i in ids] == side.ids([text])[0]
+
+
 def test_links_of_both_kinds(spark, files):
     a, b = files.sides()
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
@@ -233,7 +247,7 @@ def test_alignment_of_nasty_rows(spark, nasty, files):
     assert found.count() == nasty.count()
     long = next(r for r in found.collect() if r.doc_id == 5)
     a, b = files.sides()
-    assert long.n_a == len(a.ids([LONG])[0]) and long.n_links == long.n_a + long.n_b - long.n_groups
+    assert long.n_a == len(a.ids([f" {LONG}"])[0]) and long.n_links == long.n_a + long.n_b - long.n_groups
     assert token_alignment.alignments(nasty.limit(0), files=files).count() == 0
     nothing = token_alignment.alignments(nasty.where("text is null"), files=files)
     assert {(r.n_a, r.n_links, r.groups_sha256) for r in nothing.collect()} == {(0, 0, "")}
