@@ -33,12 +33,15 @@ def support_vector_scores(spark, sf_dir):
     return scored.select("id", rounded("score").alias("score"), "accepted")
 
 
-@query("v1_support_vectors_in_blocks", _SQL)
+@query(
+    "v1_support_vectors_in_blocks",
+    f"SELECT id // 3 AS id, score, accepted FROM ({_SQL}) UNION ALL SELECT NULL, score, accepted FROM ({_SQL}) WHERE id % 5 = 0",
+)
 def support_vectors_in_blocks(spark, sf_dir):
-    """The same with a support table too large to go along with every task."""
-    scored = ocsvm.score_support_vectors(
-        embeddings(spark, sf_dir), _support(spark, sf_dir), -1.0, 0.4, model_bytes=2048
-    )
+    """The same with a support table too large to go along with every task, and rows whose ids are repeated or missing."""
+    df = embeddings(spark, sf_dir)
+    rows = df.withColumn("id", F.expr("id div 3")).unionByName(df.where("id % 5 = 0").withColumn("id", F.lit(None).cast("long")))
+    scored = ocsvm.score_support_vectors(rows, _support(spark, sf_dir), -1.0, 0.4, model_bytes=2048)
     return scored.select("id", rounded("score").alias("score"), "accepted")
 
 

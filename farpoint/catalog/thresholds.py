@@ -47,8 +47,7 @@ def fixed_threshold(spark, sf_dir):
 
 @query(
     "t2_nth_largest",
-    f"""WITH {SQL_L_LLOYD}, t AS (SELECT min(d) AS t FROM (SELECT d FROM a ORDER BY d DESC LIMIT 100))
-    SELECT id, {r('sqrt(d)')} AS score FROM a, t WHERE d > t""",
+    f"WITH {SQL_L_LLOYD} SELECT id, {r('sqrt(d)')} AS score FROM a QUALIFY count(*) OVER (ORDER BY d DESC) < 100",
 )
 def nth_largest(spark, sf_dir):
     df = scored_lines(spark, sf_dir)

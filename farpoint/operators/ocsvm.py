@@ -16,6 +16,7 @@ from farpoint.functions import vectors
 from farpoint.operators.kmeans import sum_arrays
 from farpoint.operators.scale import VectorScaler, fit_vectors
 from farpoint.operators.threshold import order_statistic
+from farpoint.session import materialize
 
 _MODEL_BYTES = 64 * 1024 * 1024
 _CHUNK_ROWS = 200_000
@@ -27,14 +28,14 @@ def score_support_vectors(
     gamma: float = -1.0,
     rho: float = 0.0,
     features: str = "features",
-    key: str = "id",
     model_bytes: int = _MODEL_BYTES,
 ) -> DataFrame:
     """Add ``score = sum alpha * exp(gamma |x - sv|^2) - rho`` and ``accepted = score > 0``.
 
     ``support`` has ``center`` and optionally ``alpha``.  A support table under
     ``model_bytes`` goes along with the tasks; a larger one is cut into blocks, every
-    row meets every block, and the partial sums are added per key.
+    row meets every block, and the partial sums are added per row.  Rows are numbered for
+    that in a stored table, so keys may be repeated, null or absent in either case.
     """
     if "alpha" not in support.columns:
         support = support.withColumn("alpha", F.lit(1.0))
@@ -47,12 +48,21 @@ def score_support_vectors(
         alpha = np.array([r.alpha for r in rows], dtype=float)
         total = df.withColumn("score", vectors.kernel_sum(F.col(features), matrix, alpha, gamma) - F.lit(float(rho)))
     else:
-        sums = _blocked_sums(df, support, gamma, features, key, size, model_bytes)
-        total = df.join(sums, key).withColumn("score", F.col("_sum") - F.lit(float(rho))).drop("_sum")
+        row, part = (_free_name(df, c) for c in ("_row", "_sum"))
+        numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        sums = _blocked_sums(numbered, support, gamma, features, row, size, model_bytes).withColumnRenamed("sum", part)
+        total = numbered.join(sums, row).withColumn("score", F.col(part) - F.lit(float(rho))).drop(row, part)
     return total.withColumn("accepted", F.col("score") > 0)
 
 
+def _free_name(df: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def _blocked_sums(df, support, gamma, features, key, size, model_bytes) -> DataFrame:
+    """``(key, sum)`` of rows whose ``key`` is unique and not null."""
     blocks = -(-size.n // max(1, model_bytes // ((size.d + 1) * 8)))
     chunks = -(-df.count() // _CHUNK_ROWS)
     block = F.pmod(F.xxhash64("center"), F.lit(blocks)).cast("int")
@@ -73,7 +83,7 @@ def _blocked_sums(df, support, gamma, features, key, size, model_bytes) -> DataF
 
     schema = T.StructType([rows.schema["key"], T.StructField("part", T.DoubleType())])
     parts = rows.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInArrow(partial, schema)
-    return parts.groupBy(F.col("key").alias(key)).agg(F.sum("part").alias("_sum"))
+    return parts.groupBy(F.col("key").alias(key)).agg(F.sum("part").alias("sum"))
 
 
 @dataclass(frozen=True)

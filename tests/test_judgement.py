@@ -88,6 +88,21 @@ def test_support_vector_scores_both_ways(points_df, spark, monkeypatch):
         assert [r.accepted for r in out] == (expected > 0).tolist()
 
 
+def test_support_vector_scores_of_repeated_and_missing_keys(spark):
+    """Keys play no part in the sums, on either side of the size switch."""
+    x = [[0.0, 0.1], [0.5, 0.2], [0.5, 0.2], [1.0, -1.0], [0.3, 0.3]]
+    rows = spark.createDataFrame(list(zip([1, 1, 2, None, None], x, range(5))), "id long, features array<double>, _row int").repartition(3)
+    sv = [[0.0, 0.0], [1.0, 1.0], [0.2, -0.4]]
+    support = spark.createDataFrame([(c,) for c in sv], "center array<double>")
+    expected = np.exp(-((np.array(x)[:, None] - np.array(sv)[None]) ** 2).sum(axis=2)).sum(axis=1)
+    for size in (1 << 20, 40):
+        out = ocsvm.score_support_vectors(rows, support, model_bytes=size)
+        assert out.columns == ["id", "features", "_row", "score", "accepted"]
+        out = out.orderBy("_row").collect()
+        assert [r.id for r in out] == [1, 1, 2, None, None]
+        np.testing.assert_allclose([r.score for r in out], expected)
+
+
 def test_unit_weights_on_single_numbers(points_df, spark):
     support = spark.createDataFrame([([0.0],), ([1.0],)], "center array<double>")
     out = ocsvm.score_support_vectors(points_df(np.array([[0.0]])), support, rho=1.0).first()
