@@ -17,10 +17,11 @@ from farpoint.catalog.base import (
     sql_lloyd,
     sql_outcome,
     sql_rates,
+    table,
 )
 from farpoint.catalog.clusters import stored_lines
 from farpoint.catalog.distances import topic_centers
-from farpoint.operators import centroid_lof, evaluate, exact_lof, kmeans, neighbours, threshold
+from farpoint.operators import centroid_lof, evaluate, exact_lof, kmeans, neighbours, nested_neighbours, threshold
 from farpoint.session import materialize
 
 _K = 4
@@ -202,6 +203,47 @@ def exact_lof_embeddings(spark, sf_dir):
     return model.train_scores.select("id", rounded("lof").alias("lof"))
 
 
+def records(spark, sf_dir):
+    """Parts as records of two numbers and two strings; the numbers are binary fractions, so that ties are exact."""
+    df = table(spark, sf_dir, "part")
+    numbers = F.array(F.col("p_size") / 8, F.floor(F.col("p_retailprice") / 5) / 128)
+    return df.select(F.col("p_partkey").alias("id"), F.struct(numbers.alias("num"), F.array("p_brand", "p_type").alias("str")).alias("features"))
+
+
+_RECORDS = """points AS MATERIALIZED (SELECT min(p_partkey) AS p, count(*) AS w, p_size / 8 AS a, floor(p_retailprice / 5) / 128 AS b,
+  p_brand AS c, p_type AS e FROM part GROUP BY p_size, floor(p_retailprice / 5) / 128, p_brand, p_type),
+pairs AS MATERIALIZED (SELECT x.p, y.p AS o, y.w - (x.p = y.p)::INT AS w,
+  sqrt(((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c <> y.c)::INT + (x.e <> y.e)::INT) / 4) AS d
+  FROM points x CROSS JOIN points y WHERE x.p <> y.p OR y.w > 1)"""
+
+
+def _sql_records(rule: str) -> str:
+    return f"""WITH {sql_exact_lof(_RECORDS, rule, 'max(d)')} SELECT r.p_partkey AS id, {r('f.lof')} AS lof
+    FROM part r JOIN points q ON q.a = p_size / 8 AND q.b = floor(p_retailprice / 5) / 128 AND q.c = p_brand AND q.e = p_type
+    JOIN factor f ON f.p = q.p"""
+
+
+def _records_lof(spark, sf_dir, rule):
+    model = exact_lof.fit(records(spark, sf_dir), 5, rule, metric=nested_neighbours.Mixed(), block_rows=256)
+    return model.train_scores.select("id", rounded("lof").alias("lof"))
+
+
+@query("l8_exact_lof_records", _sql_records(_STANDARD.format(k=5)))
+def exact_lof_records(spark, sf_dir):
+    """Records of numbers and strings under the mixed distance."""
+    return _records_lof(spark, sf_dir, "standard")
+
+
+@query("l9_ties_kept_records", _sql_records(_DISTINCT.format(k=5)))
+def ties_kept_records(spark, sf_dir):
+    return _records_lof(spark, sf_dir, "distinct")
+
+
+@query("l10_one_neighbour_per_distance_records", _sql_records(_HEAP.format(k=5)))
+def one_neighbour_per_distance_records(spark, sf_dir):
+    return _records_lof(spark, sf_dir, "heap")
+
+
 @query("l8_exact_lof_lines")
 def exact_lof_lines(spark, sf_dir):
     """Four scaled numbers of every order line; the all-pairs SQL would be too slow."""
