@@ -15,6 +15,7 @@ from farpoint.catalog.base import (
     round_columns,
     rounded,
     scaled_lines,
+    sq,
     sq4,
     sql_assign,
     sql_lloyd,
@@ -75,24 +76,96 @@ def library_lines(spark, sf_dir):
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(F.sqrt("sq_distance")).alias("mean_distance"))
 
 
-@query("k2_restarts")
+def _share(run: str, step: int) -> str:
+    return f"('0x' || substr(md5({run} || '-{step}-' || id), 1, 8))::BIGINT / 4294967296.0"
+
+
+def _sql_nearest(name: str, centers: str, distance) -> str:
+    """``(run, id, x, cluster, d)``: every point with the nearest centre of every run."""
+    return f"""{name} AS MATERIALIZED (SELECT c.run, p.id, any_value(p.x) AS x, arg_min(c.cluster, {distance("p.x", "c.x")}) AS cluster,
+      min({distance("p.x", "c.x")}) AS d FROM pts p CROSS JOIN {centers} c GROUP BY c.run, p.id)"""
+
+
+def sql_random_seeds(k: int, runs: int, name: str = "s") -> str:
+    return f"""runs AS (SELECT unnest(range(1, {runs + 1})) AS run),
+    {name} AS MATERIALIZED (SELECT run, row_number() OVER (PARTITION BY run ORDER BY md5(run || '-0-' || id)) - 1 AS cluster, id, x
+      FROM pts CROSS JOIN runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY md5(run || '-0-' || id)) <= {k})"""
+
+
+def sql_parallel_seeds(k: int, runs: int, steps: int, distance) -> str:
+    """Seeds ``s`` by k-means||: as many steps of draws, weights, then one taken after the other."""
+    parts = [sql_random_seeds(1, runs, "b0")]
+    for i in range(1, steps + 1):
+        parts.append(_sql_nearest(f"bn{i}", f"b{i - 1}", distance))
+        parts.append(f"""b{i} AS MATERIALIZED (SELECT * FROM b{i - 1} UNION ALL
+          SELECT run, {1000 * i} + row_number() OVER (PARTITION BY run ORDER BY id) AS cluster, id, x
+          FROM (SELECT *, sum(d) OVER (PARTITION BY run) AS cost FROM bn{i}) WHERE {_share("run", i)} * cost < {2.0 * k} * d)""")
+    parts.append(_sql_nearest("bw", f"b{steps}", distance))
+    parts.append(f"""drawn AS MATERIALIZED (SELECT b.*, (SELECT count(*) FROM bw WHERE bw.run = b.run AND bw.cluster = b.cluster) AS w
+      FROM b{steps} b)""")
+    worth, taken = "w", ""
+    for i in range(k):
+        if i:
+            taken = f", min({distance('b.x', 't.x')}) AS apart FROM drawn b JOIN t{i - 1} t ON t.run = b.run GROUP BY ALL"
+            worth = "w * apart"
+        parts.append(f"""t{i} AS MATERIALIZED ({f"SELECT * FROM t{i - 1} UNION ALL" if i else ""} SELECT run, {i} AS cluster, id, x
+          FROM (SELECT b.run, b.cluster, b.id, b.x, b.w {taken or "FROM drawn b"})
+          QUALIFY row_number() OVER (PARTITION BY run ORDER BY {worth} DESC, cluster) = 1)""")
+    parts.append(f"s AS (SELECT * FROM t{k - 1})")
+    return ", ".join(parts)
+
+
+def sql_runs(k: int, iterations: int, distance) -> str:
+    """Lloyd from the seeds ``s`` of all runs; ``best (run)`` has the least cost, ``a`` its rows and ``c`` its centres."""
+    parts = ["r0 AS (SELECT run, cluster, x FROM s)"]
+    for i in range(iterations):
+        parts.append(_sql_nearest(f"ra{i}", f"r{i}", distance))
+        parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT o.run, o.cluster, coalesce(m.x, o.x) AS x FROM r{i} o LEFT JOIN (
+          SELECT run, cluster, list(v ORDER BY pos) AS x FROM (SELECT run, cluster, pos, avg(v) AS v
+            FROM (SELECT run, cluster, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM ra{i}) GROUP BY run, cluster, pos)
+          GROUP BY run, cluster) m ON m.run = o.run AND m.cluster = o.cluster)""")
+    parts.append(_sql_nearest("ra", f"r{iterations}", distance))
+    parts.append("best AS (SELECT run FROM ra GROUP BY run ORDER BY round(sum(d), 6), run LIMIT 1)")
+    parts.append("a AS (SELECT * FROM ra WHERE run = (SELECT run FROM best))")
+    parts.append(f"c AS (SELECT * FROM r{iterations} WHERE run = (SELECT run FROM best))")
+    return ", ".join(parts)
+
+
+_R_K, _R_RUNS, _R_ROUNDS = 8, 4, 5
+
+
+@query(
+    "k2_restarts",
+    f"""WITH {SQL_EMBEDDINGS}, {sql_parallel_seeds(_R_K, _R_RUNS, 2, sq)}, {sql_runs(_R_K, _R_ROUNDS, sq)}
+    SELECT cluster::INTEGER AS cluster, count(*) AS n FROM a GROUP BY cluster""",
+)
 def restarts(spark, sf_dir):
-    df = embeddings(spark, sf_dir)
-    centers = kmeans.train(df, 10, 20, runs=5, tol=1e-6)
-    return kmeans.cluster_sizes(centers.assign(df))
+    """Four starts by k-means||, fitted in the same scans; sizes of the best."""
+    df = spread(embeddings(spark, sf_dir))
+    models = kmeans.train_together(df, [_R_K] * _R_RUNS, ["id"], _R_ROUNDS)
+    return kmeans.cluster_sizes(kmeans.best_of(models).assign(df))
 
 
-@query("k3_random_start")
+@query(
+    "k3_random_start",
+    f"""WITH {SQL_EMBEDDINGS}, {sql_random_seeds(_R_K, _R_RUNS)}, {sql_runs(_R_K, _R_ROUNDS, sq)}
+    SELECT cluster::INTEGER AS cluster, count(*) AS n FROM a GROUP BY cluster""",
+)
 def random_start(spark, sf_dir):
-    df = embeddings(spark, sf_dir)
-    centers = kmeans.train(df, 10, 10, runs=5, init="random")
-    return kmeans.cluster_sizes(centers.assign(df))
+    df = spread(embeddings(spark, sf_dir))
+    models = kmeans.train_together(df, [_R_K] * _R_RUNS, ["id"], _R_ROUNDS, init="random")
+    return kmeans.cluster_sizes(kmeans.best_of(models).assign(df))
 
 
-@query("k4_default_two_clusters")
+@query(
+    "k4_default_two_clusters",
+    f"""WITH {SQL_SCALED}, {sql_parallel_seeds(2, 1, 2, sq4)}, {sql_runs(2, 20, sq4)}
+    SELECT cluster::INTEGER AS cluster, {", ".join(f"{r(f'x[{i}]', 4)} AS x{i}" for i in range(1, 5))} FROM c""",
+)
 def default_two_clusters(spark, sf_dir):
     """Two clusters and their centres."""
-    return kmeans.train(stored_lines(spark, sf_dir), 2).table(spark)
+    [model] = kmeans.train_together(stored_lines(spark, sf_dir), [2], ["id"])
+    return model.table(spark).select("cluster", *[rounded(F.col("center")[i - 1], 4).alias(f"x{i}") for i in range(1, 5)])
 
 
 @query("k5_assign", f"{_TOPIC} SELECT id, cluster, {r('d')} AS d FROM a")

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from farpoint.functions import vectors
 
@@ -149,6 +150,173 @@ def train(
         vector.unpersist()
 
 
+# --- many models in the same rounds -------------------------------------------
+
+
+def model_sums(rows: DataFrame, models: Sequence[np.ndarray]) -> DataFrame:
+    """``(model, cluster, n, total, cost)`` of several sets of centres, from one scan."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [(np.zeros(len(m)), np.zeros(m.shape), np.zeros(len(m))) for m in models]
+        for batch in batches:
+            x = vectors.to_matrix(batch.column(0), models[0].shape[1])
+            for centers, (n, total, cost) in zip(models, sums):
+                index, distance = vectors.nearest(x, centers)
+                n += np.bincount(index, minlength=len(n))
+                cost += np.bincount(index, weights=distance, minlength=len(n))
+                for j in range(x.shape[1]):
+                    total[:, j] += np.bincount(index, weights=x[:, j], minlength=len(n))
+        for model, (n, total, cost) in enumerate(sums):
+            used = np.flatnonzero(n)
+            if len(used):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(used), model, np.int32)),
+                        pa.array(used.astype(np.int32)),
+                        pa.array(n[used].astype(np.int64)),
+                        vectors.to_lists(total[used]),
+                        pa.array(cost[used]),
+                    ],
+                    names=["model", "cluster", "n", "total", "cost"],
+                )
+
+    parts = rows.mapInArrow(partial, "model int, cluster int, n long, total array<double>, cost double")
+    return parts.groupBy("model", "cluster").agg(
+        F.sum("n").alias("n"), sum_arrays(F.col("total")).alias("total"), F.sum("cost").alias("cost")
+    )
+
+
+def lloyd_together(
+    df: DataFrame, seeds: Sequence[np.ndarray], iterations: int, features: str = "features", tol: float = 0.0
+) -> list[Centers]:
+    """Lloyd from several seeds, of the same or of different k, in the same rounds.
+
+    A round is one scan, however many models there are; models that have come to rest take no
+    further part.  The costs are those of the final centres, from one more scan.
+    """
+    rows, models = df.select(features), [np.asarray(s, dtype=float) for s in seeds]
+    moving = list(range(len(models)))
+    for _ in range(iterations):
+        if not moving:
+            break
+        moved = [models[m].copy() for m in moving]
+        for row in model_sums(rows, [models[m] for m in moving]).collect():
+            moved[row.model][row.cluster] = np.asarray(row.total) / row.n
+        shifts = [((new - models[m]) ** 2).sum(axis=1).max() for m, new in zip(moving, moved)]
+        for m, new in zip(moving, moved):
+            models[m] = new
+        moving = [m for m, shift in zip(moving, shifts) if shift > tol * tol]
+    costs = [0.0] * len(models)
+    for row in model_sums(rows, models).collect():
+        costs[row.model] += row.cost
+    return [Centers(m, c) for m, c in zip(models, costs)]
+
+
+def _drawn(key: Sequence[str], run: int | Column, step: int) -> Column:
+    """A digest that orders the rows at random, alike wherever and however often it is computed."""
+    run = run if isinstance(run, Column) else F.lit(run)
+    return F.md5(F.concat_ws("-", run.cast("string"), F.lit(str(step)), *[F.col(k).cast("string") for k in key]))
+
+
+def _share(digest: Column) -> Column:
+    """The digest's first 32 bits as a number from 0 to 1."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def random_seeds(df: DataFrame, ks: Sequence[int], key: Sequence[str], seed: int = 1, features: str = "features") -> list[np.ndarray]:
+    """For the i-th of ``ks`` that many rows, drawn at random by a digest of ``seed + i`` and the key.
+
+    All draws come from one scan: the few rows whose digests are small enough to be drawn are
+    kept, and ordered.  Rows with equal keys are ordered by their features.
+    """
+    n = df.count()
+    if n < max(ks):
+        raise ValueError(f"{max(ks)} seeds wanted, {n} rows found")
+    draws = F.array(*[_drawn(key, seed + i, 0) for i in range(len(ks))])
+    rows = df.select(*key, F.col(features).alias("x"), F.posexplode(draws).alias("model", "drawn"))
+    likely = rows.where(_share(F.col("drawn")) < (8 * max(ks) + 64) / n)
+    for found in (likely, rows):  # the second if ever the first should hold too few
+        place = F.row_number().over(Window.partitionBy("model").orderBy("drawn", "x"))
+        first = found.withColumn("place", place).where(F.col("place") <= max(ks)).orderBy("model", "place").collect()
+        seeds = [[r.x for r in first if r.model == i][:k] for i, k in enumerate(ks)]
+        if all(len(s) == k for s, k in zip(seeds, ks)):
+            return [np.array(s, dtype=float) for s in seeds]
+    raise AssertionError("rows were counted before")
+
+
+def parallel_seeds(
+    df: DataFrame, ks: Sequence[int], key: Sequence[str], seed: int = 1, steps: int = 2, features: str = "features"
+) -> list[np.ndarray]:
+    """Seeds by k-means||, for the i-th of ``ks`` with draws by ``seed + i``; scans do not grow with their number.
+
+    Each step draws about 2 k rows with chances in proportion to their squared distance from the
+    rows drawn before.  The drawn rows are weighted by the rows nearest to them and thinned to k:
+    the heaviest first, then always the one of greatest weight times squared distance from those
+    taken.  Where fewer than k different rows are drawn, random ones are added.
+    """
+    drawn = random_seeds(df, [1] * len(ks), key, seed, features)
+    for step in range(1, steps + 1):
+        far = df.select(*key, F.col(features).alias("x"), vectors.nearest_distances(F.col(features), drawn).alias("d"))
+        costs = far.agg(*[F.sum(F.col("d")[i]) for i in range(len(ks))]).first()
+        chances = [F.struct(_drawn(key, seed + i, step).alias("u"), (2.0 * k * F.col("d")[i]).alias("w"), F.lit(c or 0.0).alias("cost"))
+                   for i, (k, c) in enumerate(zip(ks, costs))]
+        asked = far.select(*key, "x", F.posexplode(F.array(*chances)).alias("model", "c"))
+        found = asked.where(_share(F.col("c.u")) * F.col("c.cost") < F.col("c.w")).orderBy("model", *key, "x").collect()
+        new = [[r.x for r in found if r.model == i] for i in range(len(ks))]
+        drawn = [np.vstack([d, np.array(x, dtype=float)]) if x else d for d, x in zip(drawn, new)]
+    weights = [np.zeros(len(d)) for d in drawn]
+    for row in model_sums(df.select(features), drawn).collect():
+        weights[row.model][row.cluster] = row.n
+    seeds = [_thinned(d, w, k) for d, w, k in zip(drawn, weights, ks)]
+    if any(len(s) < k for s, k in zip(seeds, ks)):
+        spare = random_seeds(df, ks, key, seed, features)
+        seeds = [np.vstack([s, r[: k - len(s)]]) for s, r, k in zip(seeds, spare, ks)]
+    return seeds
+
+
+def _thinned(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    taken, apart = [], np.ones(len(points))
+    for _ in range(min(k, len(points))):
+        worth = weights * apart
+        best = int(worth.argmax())
+        if worth[best] <= 0:
+            break
+        gap = ((points - points[best]) ** 2).sum(axis=1)
+        apart = np.minimum(apart, gap) if taken else gap
+        taken.append(best)
+    return points[taken]
+
+
+def train_together(
+    df: DataFrame,
+    ks: Sequence[int],
+    key: Sequence[str],
+    iterations: int = 20,
+    init: str = "k-means||",
+    seed: int = 1,
+    features: str = "features",
+    tol: float = 0.0,
+) -> list[Centers]:
+    """A model for each of ``ks`` (equal ones are restarts), all in the same scans; see :func:`lloyd_together`."""
+    starts = {"k-means||": parallel_seeds, "random": random_seeds}[init](df, ks, key, seed, features=features)
+    return lloyd_together(df, starts, iterations, features, tol)
+
+
+def best_of(models: Sequence[Centers]) -> Centers:
+    """The model of least cost, the first of several."""
+    return min(models, key=lambda m: m.cost)
+
+
+def mean_distances(df: DataFrame, models: Sequence[Centers], features: str = "features") -> DataFrame:
+    """``(model, k, score)``: mean plain distance to the nearest centre of every model, from one scan."""
+    found = df.select(vectors.nearest_distances(F.col(features), [m.matrix for m in models]).alias("d"))
+    means = found.agg(F.array(*[F.avg(F.sqrt(F.col("d")[i])) for i in range(len(models))]).alias("means"))
+    ks = F.array(*[F.lit(m.k) for m in models])
+    return means.select(F.posexplode("means").alias("model", "score")).select(
+        "model", F.element_at(ks, F.col("model") + 1).alias("k"), "score"
+    )
+
+
 # --- tables about a clustering ----------------------------------------------
 
 
