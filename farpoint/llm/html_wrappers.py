@@ -8,10 +8,11 @@ that differ become a slot; texts that never differ stay as the template's own.
 its pages into one wrapper a host, and the wrappers of the tasks are aligned in two more rounds,
 so a host of very many pages is never gathered.
 
-A page's text is read by matching the page against its host's wrapper.  Tags, roles and names say
-which slots hold main text: those in article or main elements, or, on pages without such, all;
-never those of a menu, header, footer, sidebar, notice, advert, form or comment.  Of these slots,
-inside an article too, the ones that hold the template's own text are left out.
+A page's text is read by matching the page against its host's wrapper.  Slots that most pages of
+the host hold alike are the template's, inside an article too, and are left out.  Never main text
+are the slots of a menu, header, footer, sidebar, notice, advert, form or comment, which tags,
+roles and names tell.  Of the rest, the text comes from one region: the innermost of page, main
+element and article whose own slots, those that are not the template's, weigh enough.
 """
 
 from __future__ import annotations
@@ -19,22 +20,32 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.common import small_batches
+from farpoint.llm.common import fresh_name, small_batches
 from farpoint.session import materialize
 
 #: Wrappers are sent to all tasks up to so many bytes; beyond it they are joined by host.
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
-#: A text is the template's where so many different pages of a host hold it, and none holds another.
+#: A text is the template's where so many different pages of a host hold it, which are at least half
+#: of the host's, and none holds another.
 TEMPLATE_PAGES = 3
+#: Different pages are counted by the least of their checksums: exactly up to so many, by their share beyond.
+PAGES_KEPT = 16
+#: An article in a main element, and either in its page, is the text's region if its own text weighs
+#: at least this share of what surrounds it.  Headings weigh nothing.
+REGION_SHARE = {2: 0.5, 1: 0.25}
+#: A region that would lose more than this to the template keeps all: its pages are near copies.
+TEMPLATE_SHARE = 0.75
+#: Elements nested deeper end a block, but belong to the element at this depth.
+DEEPEST = 150
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -59,6 +70,10 @@ _ASIDE_NAMES = frozenset(
     "subscription signup share sharing social related recommended recommendations comment comments reply replies disqus widget pagination pager "
     "toolbar login search copyright legal disclaimer skip".split()
 )
+#: Last words of compound names that say nothing of what is inside.
+_PLAIN_NAMES = frozenset(
+    "area bar bottom box buttons button container inner item items left link links list outer panel posts right section slot top wrap wrapper".split()
+)
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -78,33 +93,45 @@ class Element:
     children: list = field(default_factory=list)  # elements and texts
 
 
+def _named(name: str) -> str:
+    """What a class or id names: its last word, or the one before words like "box"."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    while len(words) > 1 and (words[-1] in _PLAIN_NAMES or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words else ""
+
+
 def _flags(tag: str, rest: str) -> tuple[str, bool, bool]:
     """Label, whether it is beside the main text, and whether it holds the main text."""
     if not rest or "=" not in rest and "hidden" not in rest:
         return tag, tag in _ASIDE or " hidden" in rest, tag in ("article", "main")
     attributes = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(rest)}
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = {w.lower() for w in _WORDS.findall(named)}
+    names = [*attributes.get("class", "").split(), *attributes.get("id", "").split()]
+    words = {_named(name) for name in names}
     role = attributes.get("role", "").lower()
     style = attributes.get("style", "").replace(" ", "").lower()
     hidden = "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden") == "true" or re.search(r"\shidden(\s|/?$)", rest)
     aside = tag in _ASIDE or role in _ASIDE_ROLES or bool(hidden)
     if tag not in ("html", "body", "main", "article") or "comment" in words or "comments" in words:
-        aside = aside or not words.isdisjoint(_ASIDE_NAMES)
+        beside = sum(_named(name) in _ASIDE_NAMES for name in names)
+        aside = aside or beside > 0 and (2 * beside >= len(names) or _named(names[0]) in _ASIDE_NAMES)
     main = tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
     label = tag + "".join(f".{c}" for c in sorted(attributes.get("class", "").split())[:2])
     return label, aside, main and not aside
 
 
 def read(page: str) -> Element:
-    """The page as a tree of block elements; the white space of a text is still as it was."""
+    """The page as a tree of block elements, ``DEEPEST`` at most; the white space of a text is still as it was."""
     root = Element("")
     stack: list[tuple[str, Element]] = [("", root)]
 
     def close(names: tuple[str, ...], up_to: tuple[str, ...]) -> None:
         for at in range(len(stack) - 1, 0, -1):
             if stack[at][0] in names:
+                inner = stack[-1][1]
                 del stack[at:]
+                if stack[-1][1] is inner:
+                    inner.children.append(Element("br"))
                 return
             if stack[at][0] in up_to:
                 return
@@ -137,7 +164,11 @@ def read(page: str) -> Element:
             if tag in _CLOSES:
                 close(_CLOSES[tag], _HOLDS.get(tag, ()))
             element = Element(label, aside, main)
-            stack[-1][1].children.append(element)
+            if len(stack) > DEEPEST and (not aside or stack[-1][1].aside):
+                stack[-1][1].children.append(Element("br"))
+                element = stack[-1][1]
+            else:
+                stack[-1][1].children.append(element)
             if not m["rest"].rstrip().endswith("/"):
                 stack.append((tag, element))
         elif m["raw"] and m["raw"].lower() not in ("svg", "math", "button"):
@@ -148,8 +179,10 @@ def read(page: str) -> Element:
 # --- wrappers ----------------------------------------------------------------
 # A node is [label, least, most, text, children]: least 0 or 1, most 1 or 2 (two: any number).
 # The label of an element has a "-" before it if it is beside the main text, a "+" if it holds it.
+# An element's label has its first two classes, in order.
 # A text slot has the label "#": its text is a checksum, or None where texts differ.  In place of
-# children it has the checksums of the pages that held the text, ``TEMPLATE_PAGES`` at most.
+# children it has the least checksums of the pages that held the text, ``PAGES_KEPT`` at most.  The
+# root has those of all pages in place of a text.
 
 Node = list
 
@@ -158,21 +191,21 @@ def marked(element: Element) -> str:
     return ("-" if element.aside else "+" if element.main else "") + element.label
 
 
-def checksum(root: Element) -> int:
-    """Checksum of a page's tags and texts: copies of a page are one page, whatever their scripts and comments."""
-    parts: list[str] = []
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text)
 
-    def walk(element: Element) -> None:
-        for child in element.children:
-            if isinstance(child, str):
-                parts.extend(child.split())
-            else:
-                parts.append(f"<{child.label}>")
-                walk(child)
-                parts.append("</>")
 
-    walk(root)
-    return zlib.crc32(" ".join(parts).encode())
+def checksum(root: Element) -> int:
+    """Checksum of what may be a page's main text: pages that differ in menus, sidebars or scripts are one page."""
+    parts: list[str] = []
+    waiting = [root]
+    while waiting:
+        element = waiting.pop()
+        if isinstance(element, str):
+            parts.extend(element.split())
+        elif not element.aside:
+            waiting.extend(reversed(element.children))
+    return _digest(" ".join(parts))
 
 
 def page_wrapper(root: Element) -> Node:
@@ -186,16 +219,21 @@ def page_wrapper(root: Element) -> Node:
             if isinstance(child, str):
                 words = " ".join(child.split())
                 if words:
-                    children.append(["#", 1, 1, zlib.crc32(words.encode()), [page]])
+                    children.append(["#", 1, 1, _digest(words), [page]])
             elif child.label != "br":
                 children.append(node(child))
         return [marked(element), 1, 1, None, folded(children)]
 
-    return node(root)
+    whole = node(root)
+    whole[3] = [page]
+    return whole
 
 
 def folded(nodes: list[Node]) -> list[Node]:
-    """``nodes`` with runs of up to four that are repeated at once made repeated groups."""
+    """``nodes`` with runs of up to four that are repeated at once made repeated groups.
+
+    A longer run that is repeated stays written out; later pages find its places one after the other.
+    """
     for period in range(1, 5):
         out: list[Node] = []
         for item in nodes:
@@ -217,10 +255,20 @@ def merged(a: Node, b: Node) -> Node:
         return [*a]
     least, most = min(a[1], b[1]), max(a[2], b[2])
     if a[0] != "#":
-        return [a[0], least, most, None, aligned(a[4], b[4])]
+        pages = _union(a[3], b[3]) if a[3] and b[3] else None
+        return [a[0], least, most, pages, aligned(a[4], b[4])]
     if a[3] is None or a[3] != b[3]:
         return ["#", least, most, None, []]
-    return ["#", least, most, a[3], sorted({*a[4], *b[4]})[:TEMPLATE_PAGES]]
+    return ["#", least, most, a[3], _union(a[4], b[4])]
+
+
+def _union(a: list[int], b: list[int]) -> list[int]:
+    return sorted({*a, *b})[:PAGES_KEPT]
+
+
+def of_template(held: list[int], pages: list[int]) -> bool:
+    """Whether a text that no page differs in is the template's, by the pages that held it and all pages."""
+    return len(held) >= TEMPLATE_PAGES and 2 * len({*held} & {*pages}) >= len(pages)
 
 
 def aligned(xs: list[Node], ys: list[Node]) -> list[Node]:
@@ -259,7 +307,7 @@ def aligned(xs: list[Node], ys: list[Node]) -> list[Node]:
 def expression(node: Node) -> str:
     """A wrapper as it is written in the literature: ``( )?``, ``( )+`` and ``#PCDATA``."""
     if node[0] == "#":
-        body = "#PCDATA" if node[3] is None else f"#{node[3]:08x}"
+        body = "#PCDATA" if node[3] is None else f"#{node[3]:016x}"
     else:
         label, inside = node[0].lstrip("-+"), " ".join(expression(n) for n in node[4])
         body = f"<{label}>{inside}</{label.split('.')[0]}>" if label else inside
@@ -353,7 +401,7 @@ class Places:
         def place(node: Node, around: int, first: int) -> Place:
             label, least, most, text, children = node
             if label == "#":
-                return Place("#", around, least, most > 1, first, text if len(children) >= TEMPLATE_PAGES else None)
+                return Place("#", around, least, most > 1, first, text if of_template(children, pages) else None)
             found = Place(label, _region(around, label), least, most > 1, first)
             start = 0
             for at, child in enumerate(children):
@@ -362,7 +410,9 @@ class Places:
                 found.children.append(place(child, found.region, start))
             return found
 
-        return cls(place(json.loads(wrapper), OUTSIDE, 0))
+        tree = json.loads(wrapper)
+        pages = tree[3] or []
+        return cls(place(tree, OUTSIDE, 0))
 
 
 def _after(place: Place, at: int) -> int:
@@ -423,30 +473,49 @@ def matched(labels: list[str], places: list[Place]) -> list[Place | None]:
     return out
 
 
+@dataclass
+class Block:
+    depth: int  # of the region
+    words: str
+    own: bool  # not all of it is the template's
+    weight: int  # of the text that is neither the template's nor a heading
+
+
+def region_of(blocks: list[Block]) -> int:
+    """The depth of the region that the main text is in: the innermost whose own text weighs enough."""
+    weights = [sum(b.weight for b in blocks if b.depth == depth) for depth in range(3)]
+    for depth in (2, 1):
+        if weights[depth] and weights[depth] >= REGION_SHARE[depth] * max(weights[:depth]):
+            return depth
+    if weights[0]:
+        return 0
+    return max((b.depth for b in blocks), default=0)  # headings or the template's text alone
+
+
 def main_text(page: str | None, places: Places) -> str:
     """The blocks of the main text, joined by newlines.
 
-    A block is left out if all its texts are the template's.  What no place of the wrapper fits
-    is read by its own tags.
+    A block is left out if all its texts are the template's, unless that were most of its region, or
+    it is the h1 of an article.
+    What no place of the wrapper fits is read by its own tags.
     """
     if not page:
         return ""
-    blocks: list[tuple[int, str]] = []  # with the depth of the region
-    deepest = 0
+    blocks: list[Block] = []
 
     def walk(element: Element, place: Place | None, around: int, heading: bool, closed: bool) -> None:
-        nonlocal deepest
         parts: list[str] = []
         own = False
-        deepest = max(deepest, _DEPTH[around])
+        kind = element.label.split(".")[0]
+        title, named = bool(re.fullmatch("h[1-6]", kind)), kind == "h1" and around != OUTSIDE  # an article's name is its own
         met = iter(matched([label for c in element.children if (label := _label(c))], place.children)) if place is not None else None
 
         def flush() -> None:
             nonlocal own
             words = " ".join("".join(parts).split())
             parts.clear()
-            if words and own:
-                blocks.append((_DEPTH[around], words))
+            if words:
+                blocks.append(Block(_DEPTH[around], words, own or named, len(words) if own and not title else 0))
             own = False
 
         for child in element.children:
@@ -456,7 +525,7 @@ def main_text(page: str | None, places: Places) -> str:
                 if not heading:
                     parts.append(child)
                     if label and not own:
-                        own = there is None or there.fixed is None or there.fixed != zlib.crc32(" ".join(child.split()).encode())
+                        own = there is None or there.fixed is None or there.fixed != _digest(" ".join(child.split()))
             elif not label:
                 flush()
             else:
@@ -472,7 +541,12 @@ def main_text(page: str | None, places: Places) -> str:
         flush()
 
     walk(read(page), places.root, OUTSIDE, False, False)
-    return "\n".join(words for depth, words in blocks if depth == deepest)
+    depth = region_of(blocks)
+    held = [b for b in blocks if b.depth == depth]
+    lost = sum(len(b.words) for b in held if not b.own)
+    if depth == 0 or lost <= TEMPLATE_SHARE * sum(len(b.words) for b in held):
+        held = [b for b in held if b.own]
+    return "\n".join(b.words for b in held)
 
 
 def _label(child: Element | str) -> str:
@@ -492,20 +566,21 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", out: str =
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined in page order by one newline.  Null or empty pages have an empty text; pages without
     a host share one wrapper.  Repeated rows give repeated rows; columns called ``text`` or
-    ``n_chars`` are replaced.  An empty table gives an empty table.
+    ``n_chars`` are replaced, others kept whatever their names.  An empty table gives an empty table.
     """
     kept = [c for c in pages.columns if c not in (page, out, "n_chars")]
     known = materialize(wrappers(pages.select(host_of(url).alias("host"), F.col(page).alias("html"))), "wrappers")
     size = known.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    rows = small_batches(pages).select(*[f"`{c}`" for c in kept], host_of(url).alias("__host"), F.col(f"`{page}`").alias("__page"))
+    of_host, of_page, of_wrapper = (fresh_name(pages, c) for c in ("page_host", "page_html", "page_wrapper"))
+    rows = small_batches(pages).select(*[f"`{c}`" for c in kept], host_of(url).alias(of_host), F.col(f"`{page}`").alias(of_page))
     shared = None
     if size <= BROADCAST_BYTES:
         found = {r["host"]: r["wrapper"] for r in known.collect()}
         shared = pages.sparkSession.sparkContext.broadcast(found)
-        rows = rows.withColumn("__wrapper", F.lit(None).cast("string"))
+        rows = rows.withColumn(of_wrapper, F.lit(None).cast("string"))
     else:
-        joined = known.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
-        rows = rows.join(joined, "__host", "left").select(*[f"`{c}`" for c in kept], "__host", "__page", "__wrapper")
+        joined = known.select(F.col("host").alias(of_host), F.col("wrapper").alias(of_wrapper))
+        rows = rows.join(joined, of_host, "left").select(*[f"`{c}`" for c in kept], of_host, of_page, of_wrapper)
     schema = pages.select(*[f"`{c}`" for c in kept]).withColumns({out: F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     n = len(kept)
 
