@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A text is read as clauses of words.  Four small transducers tag the words of a clause: insults
-(a weighted prefix lexicon), threats, targets, negation and reported speech.  Their composition
-walks the clause once and gives every insult or threat the weight it has in that place: less
-after a negation or in reported speech, more beside a target.  The clauses' weights, not the
-words alone, make the features of a document.
+A text is read as clauses of words, and a word as a tag: insult (a weighted prefix lexicon), threat,
+target, negation, report or other.  Five weighted transducers over tags, written as tables, give
+an insult or a threat its weight in its place: less soon after a negation or in reported speech,
+more near a target; a threat counts only near a target, and less with every word between.  Four
+are composed into one table that walks the clause forwards; that of targets walks it both ways,
+and the better path counts.  The clauses' weights, not the words alone, make the features of a
+document.
 
 The insult lexicon is learned: of the words and word beginnings in toxic labelled texts those
 stay whose odds speak for toxicity by more than their standard error.  A logistic layer over the
-clause features is fitted across folds, each text being read with a lexicon that has not seen it.
-Both are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``); every text is scored whole.
+clause features is fitted across folds, each text being read with a lexicon that has not seen it;
+the folds also choose whether the sum of the weights enters as it is or by its logarithm.  All are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``); every text is scored whole.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +50,8 @@ NEGATIONS = ("not", "never", "isn", "aren", "nicht", "kein", "keine", "pas", "ja
 REPORTS = ("said", "says", "called", "quoted", "sagte", "nannte", "disait", "appelé", "dijo", "llamó")
 SEED_WEIGHT = 2.5
 AFTER_NEGATION, REPORTED, AT_TARGET, THREAT_WEIGHT = 0.7, 0.8, 1.15, 2.0
+#: Weight of a threat by its distance from a target, up to ``REACH`` words.
+AIMED = (1.0, 0.75, 0.5)
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:|\n]")
 _ENDS = frozenset(".!?;:|\n")
@@ -55,6 +59,76 @@ _ENDS = frozenset(".!?;:|\n")
 PRIOR = (-4.0, 0.5, 1.5, 0.0, 0.0, 0.0)
 
 
+# --- transducers -------------------------------------------------------------
+
+TAGS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``moves[state][tag]`` is the next state and the weight of a word with that tag; the first state is 0."""
+
+    moves: tuple[tuple[tuple[int, float], ...], ...]
+
+    def states(self, tags: list[int]) -> list[int]:
+        """The state before each word."""
+        state, out = 0, []
+        for tag in tags:
+            out.append(state)
+            state = self.moves[state][tag][0]
+        return out
+
+
+def transducer(states: int, step: Callable[[int, int], int], weight: Callable[[int, int], float]) -> Transducer:
+    return Transducer(tuple(tuple((step(s, t), weight(s, t)) for t in TAGS) for s in range(states)))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both at once: a state for every pair that can be reached, weights multiplied."""
+    places, order, rows = {(0, 0): 0}, [(0, 0)], []
+    for p, q in order:  # grows as pairs are found
+        row = []
+        for tag in TAGS:
+            (p2, u), (q2, v) = a.moves[p][tag], b.moves[q][tag]
+            if (p2, q2) not in places:
+                places[p2, q2] = len(order)
+                order.append((p2, q2))
+            row.append((places[p2, q2], u * v))
+        rows.append(tuple(row))
+    return Transducer(tuple(rows))
+
+
+def _since(tag: int) -> Callable[[int, int], int]:
+    """States that count down the words within reach of the last one with ``tag``."""
+    return lambda state, now: REACH if now == tag else max(0, state - 1)
+
+
+_MATCHED = (INSULT, THREAT)
+#: The word's own weight: an insult's comes from the lexicon and is one here.
+INSULTING = transducer(1, lambda s, t: 0, lambda s, t: 1.0)
+THREATENING = transducer(1, lambda s, t: 0, lambda s, t: THREAT_WEIGHT if t == THREAT else 1.0)
+NEGATING = transducer(REACH + 1, _since(NEGATION), lambda s, t: AFTER_NEGATION if s and t in _MATCHED else 1.0)
+REPORTING = transducer(2, lambda s, t: int(s or t == REPORT), lambda s, t: REPORTED if s and t in _MATCHED else 1.0)
+
+
+def _aimed(state: int, tag: int) -> float:
+    if tag == INSULT:
+        return AT_TARGET if state else 1.0
+    if tag == THREAT:
+        return AIMED[REACH - state] if state else 0.0
+    return 1.0
+
+
+TARGETING = transducer(REACH + 1, _since(TARGET), _aimed)
+CONTEXT = compose(compose(INSULTING, THREATENING), compose(NEGATING, REPORTING))
+
+
+# --- the grammar -------------------------------------------------------------
+
+#: How the sum of the weights enters the layer.
+FORMS = {"sum": float, "log": math.log1p}
+
+
 def _beginnings(word: str) -> list[str]:
     """The lexicon entries that cover a word: itself and its proper beginnings."""
     return ["=" + word, *(word[:k] for k in range(LEAST_PREFIX, min(LONGEST_PREFIX, len(word) - 1) + 1))]
@@ -62,18 +136,19 @@ def _beginnings(word: str) -> list[str]:
 
 @dataclass
 class Grammar:
-    """The lexicon of insults (``=word`` or a beginning, to its weight) and the weights of the features."""
+    """The lexicon of insults (``=word`` or a beginning, to its weight), the weights of the features and the sum's form."""
 
     lexicon: dict[str, float]
     layer: tuple[float, ...] = PRIOR
+    form: str = "sum"
 
     def __post_init__(self) -> None:
         self._known: dict[str, float] = {}
         self._threats = frozenset(THREATS)
-        self._around = {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS} | {w: "target" for w in TARGETS}
+        self._tags = {w: THREAT for w in THREATS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS} | {w: TARGET for w in TARGETS}
 
     def __reduce__(self):
-        return Grammar, (self.lexicon, self.layer)
+        return Grammar, (self.lexicon, self.layer, self.form)
 
     def insult(self, word: str) -> float:
         weight = self._known.get(word)
@@ -84,36 +159,26 @@ class Grammar:
         return weight
 
     def clause(self, words: list[str]) -> dict[str, float]:
-        """Weight of every insult of one clause in its place."""
+        """Weight of every insult of one clause, and of its heaviest threat, in their places."""
         found: dict[str, float] = {}
-        since_negation, since_target, reported = REACH + 1, REACH + 1, False
-        pending: list[str] = []  # insults that a target may still follow
-        threat = False
-        for word in words:
-            since_negation, since_target = since_negation + 1, since_target + 1
-            tag = self._around.get(word)
-            if tag == "negation":
-                since_negation = 0
-            elif tag == "report":
-                reported = True
-            elif tag == "target":
-                since_target = 0
-                for late in pending[-1:]:
-                    found[late] *= AT_TARGET
-                if threat:
-                    found["threat"] = max(found.get("threat", 0.0), THREAT_WEIGHT)
-            if word in self._threats:
-                threat = True
-                if since_target <= REACH and since_negation > REACH:
-                    found["threat"] = THREAT_WEIGHT
-            weight = self.insult(word)
+        weights = [self.insult(word) for word in words]
+        tags = [self._tags.get(word) or (INSULT if weight else OTHER) for word, weight in zip(words, weights)]
+        context, before = CONTEXT.states(tags), TARGETING.states(tags)
+        after = TARGETING.states(tags[::-1])[::-1]
+        for at, (word, weight, tag) in enumerate(zip(words, weights, tags)):
             if weight:
-                weight *= AFTER_NEGATION if since_negation <= REACH else 1.0
-                weight *= AT_TARGET if since_target <= REACH else 1.0
-                found[word] = max(found.get(word, 0.0), weight * (REPORTED if reported else 1.0))
-                pending = [word]
+                found[word] = max(found.get(word, 0.0), weight * self._placed(INSULT, context[at], before[at], after[at]))
+            if tag == THREAT:
+                threat = self._placed(THREAT, context[at], before[at], after[at])
+                if threat:
+                    found["threat"] = max(found.get("threat", 0.0), threat)
         return found
 
+    @staticmethod
+    def _placed(tag: int, context: int, before: int, after: int) -> float:
+        """The weight of the better of two paths: to a target before, or after."""
+        return CONTEXT.moves[context][tag][1] * max(TARGETING.moves[before][tag][1], TARGETING.moves[after][tag][1])
+
     def features(self, text: str) -> list[float]:
         tokens = _TOKEN.findall(text.lower())
         weigh, known = self.insult, self._known.get
@@ -136,7 +201,7 @@ class Grammar:
         weights = sorted(best.values(), reverse=True)
         root = math.sqrt(len(kinds) + 1)
         top = weights[0] if weights else 0.0
-        return [1.0, sum(weights), top, math.log1p(len(kinds)), len(weights) / root, sum(weights) / root]
+        return [1.0, FORMS[self.form](sum(weights)), top, math.log1p(len(kinds)), len(weights) / root, sum(weights) / root]
 
     def score(self, text: str) -> float:
         at = sum(a * b for a, b in zip(self.layer, self.features(text)))
@@ -264,19 +329,32 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not n_toxic or not n_clean:
         return Grammar({"=" + w: SEED_WEIGHT for w in INSULTS})
     *partial, whole = _lexicons(sample, n_toxic, n_clean)
-    readers = [Grammar(lexicon) for lexicon in partial]
+    readers = [Grammar(lexicon) for lexicon in partial]  # these give the plain sum
     shared = docs.sparkSession.sparkContext.broadcast(readers)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             values = [shared.value[fold].features(text) for fold, text in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(2)], names=["x", "toxic"])
+            columns = [pa.array(values, pa.list_(pa.float64())), batch.column(2), batch.column(0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "toxic", "fold"])
 
-    rows = sample.select("fold", "text", "toxic").mapInArrow(read, "x array<double>, toxic int").collect()
-    x = np.array([r[0] for r in rows], float)
+    rows = sample.select("fold", "text", "toxic").mapInArrow(read, "x array<double>, toxic int, fold int").collect()
+    x, y, fold = (np.array(c, float) for c in zip(*[(r.x, r.toxic == 1, r.fold) for r in rows]))
     shared.destroy()
-    return Grammar(whole, _logistic(x, np.array([r[1] == 1 for r in rows], float)))
+    shaped = {form: np.column_stack([x[:, :1], [shape(v) for v in x[:, 1]], x[:, 2:]]) for form, shape in FORMS.items()}
+    form = min(FORMS, key=lambda f: _unseen_loss(shaped[f], y, fold))
+    return Grammar(whole, _logistic(shaped[form], y), form)
+
+
+def _unseen_loss(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """Logistic loss of every row by a layer that was fitted on the other folds."""
+    total = 0.0
+    for out in np.unique(fold):
+        there = fold == out
+        weights = np.array(_logistic(x[~there], y[~there]))
+        total += np.logaddexp(0, -np.where(y[there] > 0, 1.0, -1.0) * (x[there] @ weights)).sum()
+    return float(total)
 
 
 def with_scores(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "score") -> DataFrame:

@@ -31,6 +31,60 @@ def test_grammar_reads_clauses():
     assert 0 <= grammar.score("") < 0.1
 
 
+def test_threats_are_read_in_their_place():
+    grammar = toxicity_grammar.Grammar({})
+    said = ["i will kill you", "i will not kill you", "somebody said we kill you", "kill the process you see"]
+    weights = [grammar.clause(c.split()).get("threat", 0.0) for c in said]
+    assert weights == pytest.approx([2.0, 2.0 * toxicity_grammar.AFTER_NEGATION, 2.0 * toxicity_grammar.REPORTED, 1.0])
+    scores = [grammar.score(c) for c in said]
+    assert len({round(v, 6) for v in scores}) == 4 and scores[0] == max(scores) and scores[3] == min(scores)
+    assert grammar.clause("you kill".split()) == grammar.clause("kill you".split()) == {"threat": 2.0}
+    assert grammar.clause("kill all of these you".split()) == {}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_composed_transducers_equal_a_search_of_paths(seed):
+    """Each transducer alone over the tags, weights multiplied, and the better way to a target."""
+    rng = np.random.default_rng(seed)
+    words = {toxicity_grammar.OTHER: "word", toxicity_grammar.INSULT: "scum", toxicity_grammar.THREAT: "kill",
+             toxicity_grammar.TARGET: "you", toxicity_grammar.NEGATION: "not", toxicity_grammar.REPORT: "said"}
+    tags = rng.choice(6, rng.integers(1, 12), p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1]).tolist()
+    expected = {}
+    for at, tag in enumerate(tags):
+        if tag not in (toxicity_grammar.INSULT, toxicity_grammar.THREAT):
+            continue
+        weight = 3.0 if tag == toxicity_grammar.INSULT else toxicity_grammar.THREAT_WEIGHT
+        if toxicity_grammar.NEGATION in tags[max(0, at - toxicity_grammar.REACH) : at]:
+            weight *= toxicity_grammar.AFTER_NEGATION
+        if toxicity_grammar.REPORT in tags[:at]:
+            weight *= toxicity_grammar.REPORTED
+        apart = min([abs(at - i) for i, t in enumerate(tags) if t == toxicity_grammar.TARGET], default=99)
+        if tag == toxicity_grammar.INSULT:
+            weight *= toxicity_grammar.AT_TARGET if apart <= toxicity_grammar.REACH else 1.0
+        else:
+            weight *= toxicity_grammar.AIMED[apart - 1] if apart <= toxicity_grammar.REACH else 0.0
+        name = "scum" if tag == toxicity_grammar.INSULT else "threat"
+        if weight:
+            expected[name] = max(expected.get(name, 0.0), weight)
+    found = toxicity_grammar.Grammar({"=scum": 3.0}).clause([words[t] for t in tags])
+    assert found == {k: pytest.approx(v) for k, v in expected.items()}
+    one, two = toxicity_grammar.NEGATING, toxicity_grammar.REPORTING
+    both = toxicity_grammar.compose(one, two)
+    for state, p, q, tag in zip(both.states(tags), one.states(tags), two.states(tags), tags):
+        assert both.moves[state][tag][1] == pytest.approx(one.moves[p][tag][1] * two.moves[q][tag][1])
+
+
+def test_the_form_is_chosen_by_folds():
+    rng = np.random.default_rng(1)
+    sums = np.exp(rng.normal(2.5, 1.5, 2000))  # the odds follow the logarithm
+    y = (rng.random(2000) < 1 / (1 + np.exp(-2 * (np.log1p(sums) - 2.5)))).astype(float)
+    fold = np.arange(2000) % toxicity_grammar.FOLDS
+    x = {f: np.column_stack([np.ones(2000), [shape(v) for v in sums], np.zeros((2000, 4))]) for f, shape in toxicity_grammar.FORMS.items()}
+    losses = {f: toxicity_grammar._unseen_loss(m, y, fold) for f, m in x.items()}
+    assert losses["log"] < losses["sum"]
+    assert toxicity_grammar.Grammar({"=bad": 2.0}, form="log").features("bad")[1] == pytest.approx(np.log1p(2.0))
+
+
 def test_every_matched_word_counts_in_the_sum():
     words = [f"bad{chr(97 + i)}" for i in range(20)]
     grammar = toxicity_grammar.Grammar({f"={w}": 1.0 + i / 10 for i, w in enumerate(words)})
