@@ -96,6 +96,15 @@ def _common_end(a: str, b: str, most: int) -> int:
     return low
 
 
+def absent(text: str) -> str:
+    """A private-use character that ``text`` does not hold, or if it holds all a longer run of one than any in it."""
+    single = next((c for c in map(chr, range(0xE000, 0xF900)) if c not in text), None)
+    if single:
+        return single
+    longest = max(map(len, re.findall("\ue001+", text)))
+    return "\ue000" + "\ue001" * (longest + 1) + "\ue000"
+
+
 def turn_spans(render: Callable[[Messages], str], messages: Messages) -> tuple[str, list[Span | None], int | None]:
     """The whole rendering, each turn's span and the first turn at which history is rewritten.
 
@@ -120,10 +129,10 @@ def turn_spans(render: Callable[[Messages], str], messages: Messages) -> tuple[s
             rewritten = n - 1
             break
         role, text = messages[n - 1]
-        sentinel = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in now)
+        sentinel = absent(now)
         probe = render([*messages[: n - 1], (role, sentinel)])
         text_start = probe.find(sentinel)
-        tail = len(probe) - text_start - 1
+        tail = len(probe) - text_start - len(sentinel)
         if text_start < start or probe.count(sentinel) != 1 or text_start + tail > len(now):
             rewritten = n - 1  # the text is not where the turn is, or is shown twice
             break

@@ -273,6 +273,14 @@ def test_rewriting_templates_are_told():
     assert chat_spans.turn_spans(counts, messages)[2] == 0
 
 
+def test_spans_of_a_text_that_holds_every_private_character():
+    every = "".join(map(chr, range(0xE000, 0xF900))) + "\ue001" * 5 + "\ue000"
+    messages = [("user", every), ("assistant", every * 2), ("user", "\ue001" * 9)]
+    render = chat_spans.MarkedTurns()
+    whole, spans, rewritten = chat_spans.turn_spans(render, messages)
+    assert rewritten is None and [whole[s.text_start : s.text_stop] for s in spans] == [t for _, t in messages]
+
+
 def test_chat_query_against_plain_python(spark, sf_small):
     turns = defaultdict(list)
     for r in table(spark, sf_small, "conversations").orderBy("conv_id", "turn").collect():
