@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from farpoint.catalog.base import (
     NUMBERS,
+    SQL_EMBEDDINGS,
     SQL_ID,
     SQL_LINES,
     embeddings,
@@ -17,6 +18,7 @@ from farpoint.catalog.base import (
     table,
 )
 from farpoint.operators import encode, pca, scale
+from farpoint.session import materialize
 from farpoint.sources import records
 
 _TEXT = ("l_returnflag", "l_linestatus")
@@ -224,6 +226,28 @@ def all_components(spark, sf_dir):
     return spark.createDataFrame(rows, "component int, variance_share double")
 
 
+@query(
+    "p2_all_components_keep_lengths",
+    f"""WITH {SQL_EMBEDDINGS}, spread AS (SELECT sum(v) AS total FROM (SELECT var_samp(v) AS v FROM (
+      SELECT unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM pts) GROUP BY pos))
+    SELECT id, len(x)::INTEGER AS components, {r("list_sum(list_transform(x, lambda v: v * v))", 5)} AS sq_length,
+      {r("total", 5)} AS variance FROM pts, spread""",
+)
+def all_components_keep_lengths(spark, sf_dir):
+    """On all components, which are orthonormal, rows keep their lengths and the columns their total variance."""
+    df = embeddings(spark, sf_dir)
+    model = pca.fit_components(df)
+    scores = materialize(model.project(df, output="scores").select("id", "scores"), "scores")
+    total = scores.agg(*[F.var_samp(F.col("scores")[i]) for i in range(model.matrix.shape[1])]).first()
+    squares = F.aggregate("scores", F.lit(0.0), lambda acc, v: acc + v * v)
+    return scores.select(
+        "id",
+        F.size("scores").alias("components"),
+        rounded(squares, 5).alias("sq_length"),
+        rounded(F.lit(float(sum(total))), 5).alias("variance"),
+    )
+
+
 @query(
     "p3_projection",
     f"WITH {_TWO}, {_sql_components('two')} SELECT id, {r('u * u1 + v * v1', 5)} AS s1, {r('u * u2 + v * v2', 5)} AS s2 FROM two, pc",
