@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -205,6 +206,60 @@ def test_tiles_against_brute_force(seed):
     assert [(t) for _, tiles, _ in found for t in tiles] == wanted
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_tiles_of_items_that_share_lines(seed):
+    rng = random.Random(seed)
+    letters = "abcd"[: rng.randint(1, 4)]
+    line = [rng.choice(letters) for _ in range(6)]
+    items = [line + ["z"] * n + [rng.choice(letters) for _ in range(rng.randint(0, 12))] + line for n in range(3)] * 2
+    doc = line * rng.randint(1, 4) + ["e"] + items[1][:9] + [rng.choice(letters) for _ in range(9)]
+    index = string_tiling.SeedIndex(list(enumerate(map(" ".join, items))), 3)
+    wanted = {n: tiles for n, item in enumerate(items) if (tiles := brute_tiles(doc, item, 3))}
+    assert {n: tiles for n, tiles, _ in index.pairs(" ".join(doc))} == wanted
+    leaking = {n for n, tiles in wanted.items() if sum(t[2] for t in tiles) >= 0.5 * len(items[n])}
+    found = index.found(" ".join(doc), 0.5)
+    assert {n for n, tiles, tokens in found if sum(t[2] for t in tiles) >= 0.5 * tokens} == leaking
+
+
+def test_a_line_of_very_many_items():
+    line = "read the text below and answer the question with one word"
+    index = string_tiling.SeedIndex([(n, f"{line} " + " ".join(f"w{n}x{i}" for i in range(8))) for n in range(30_000)])
+    start = time.monotonic()
+    found = index.pairs(" . and then . ".join([line] * 100))
+    assert [len(tiles) for _, tiles, _ in found] == [1] * 30_000
+    repetitive = string_tiling.SeedIndex([(1, "ha " * 400)]).pairs("ha " * 20_000)
+    assert repetitive[0][1] == [(0, 0, 400)]
+    assert time.monotonic() - start < 5
+
+
+def test_hashes_that_meet_are_drawn_anew(monkeypatch):
+    rolling, calls = string_tiling.SeedIndex._rolling, []
+
+    def poor(self, ids, k):
+        calls.append(k)
+        return rolling(self, ids, k) & np.uint64(1) if len(calls) <= 2 else rolling(self, ids, k)
+
+    monkeypatch.setattr(string_tiling.SeedIndex, "_rolling", poor)
+    index = string_tiling.SeedIndex([(1, "a b c d e f g"), (2, "h i j k l m n")], 3)
+    assert [(n, t) for n, t, _ in index.pairs("x h i j k l m n a b c d")] == [(0, [(8, 0, 4)]), (1, [(1, 0, 7)])]
+
+
+def test_documents_are_read_once_for_many_slices(spark):
+    rng = random.Random(3)
+    items = [(n, " ".join(f"w{rng.randrange(400)}" for _ in range(30))) for n in range(60)]
+    docs = [(n, f"some {items[n % 60][1]} more {items[(n * 7) % 60][1][:60]}") for n in range(150)]
+    docs = spark.createDataFrame([*docs, (150, None), (151, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, string_tiling.leaks(docs, bench).collect()))
+    for scan_bytes, scans in ((1 << 20, 1), (2000, 3)):
+        frame = string_tiling.leaks(docs, bench, slice_bytes=500, scan_bytes=scan_bytes)
+        assert sorted(map(tuple, frame.collect())) == whole and len(whole) >= 150
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("MapInArrow") == 1) if scans == 1 else (plan.count("MapInArrow") >= scans)
+        kept = string_tiling.without_leaks(docs, bench, slice_bytes=500, scan_bytes=scan_bytes)
+        assert sorted(r.doc_id for r in kept.collect()) == [150, 151]
+
+
 def test_leaks_and_reordered_passages(spark, nasty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     words = item.split()
