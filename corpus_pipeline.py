@@ -21,9 +21,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates, by shingles of five words, the document with the least id."""
+    """Keeps of each group of near-duplicates, the document with the least id.
+
+    Shingles of four words and at most four differing bits, as op9 takes them.
+    """
     ship_package(spark)
-    return simhash_balls.one_of_each(docs, words=5)
+    return simhash_balls.one_of_each(docs, radius=4, words=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
