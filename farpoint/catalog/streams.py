@@ -12,6 +12,7 @@ from farpoint.sources.records import read_lines, write_delimited
 from farpoint.streaming import online_kmeans as online
 
 _K, _SLICES, _CUT = 4, 3, 1500.0
+_NUDGE, _HALF_LIFE = 0.05, 5000
 _ONCE = {"availableNow": True}
 
 _POINTS = """pts AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS label,
@@ -22,17 +23,31 @@ def _distance(a, b):
     return f"({a}[1] - {b}[1]) * ({a}[1] - {b}[1]) + ({a}[2] - {b}[2]) * ({a}[2] - {b}[2])"
 
 
-def _sql_fold():
-    parts = [_POINTS, sql_seeds("seeds", "pts", _K), "v0 AS (SELECT cluster, x, 0.0::DOUBLE AS w FROM seeds)"]
+def _sql_split(name, folded):
+    """The lightest centre, where it dies, next to the heaviest."""
+    moved = ", ".join(f"b[{i}] + sign * {_NUDGE} * greatest(abs(b[{i}]), 1)" for i in (1, 2))
+    return f"""{name} AS MATERIALIZED (SELECT cluster, CASE WHEN sign = 0 THEN x ELSE [{moved}] END AS x,
+      CASE WHEN sign = 0 THEN w ELSE (top + low) / 2 END AS w FROM (
+        SELECT u.*, s.*, CASE WHEN NOT low < 1e-8 * top THEN 0 WHEN cluster = heavy THEN 1 WHEN cluster = light THEN -1 ELSE 0 END AS sign
+        FROM {folded} u CROSS JOIN (SELECT max(w) AS top, min(w) AS low, arg_max(cluster, w) AS heavy, arg_min(cluster, w) AS light,
+          arg_max(x, w) AS b FROM {folded}) s))"""
+
+
+def _sql_fold(start="x", decay="1.0", split=False):
+    parts = [_POINTS, sql_seeds("seeds", "pts", _K), f"v0 AS (SELECT cluster, {start} AS x, 0.0::DOUBLE AS w FROM seeds)"]
     for i in range(_SLICES):
         parts.append(f"s{i} AS (SELECT id, x FROM pts WHERE id % {_SLICES} = {i})")
         parts.append(sql_assign(f"a{i}", f"s{i}", f"v{i}", distance=_distance))
+        parts.append(f"o{i} AS (SELECT cluster, x, w * {decay.format(rows=f'(SELECT count(*) FROM s{i})')} AS w FROM v{i})")
+        name = f"u{i + 1}" if split else f"v{i + 1}"
         parts.append(
-            f"""v{i + 1} AS MATERIALIZED (SELECT v.cluster, CASE WHEN m.n IS NULL THEN v.x ELSE
+            f"""{name} AS MATERIALIZED (SELECT v.cluster, CASE WHEN m.n IS NULL THEN v.x ELSE
               [(v.x[1] * w + m.s1) / (w + m.n), (v.x[2] * w + m.s2) / (w + m.n)] END AS x, w + coalesce(m.n, 0) AS w
-              FROM v{i} v LEFT JOIN (SELECT cluster, count(*) AS n, sum(x[1]) AS s1, sum(x[2]) AS s2 FROM a{i} GROUP BY cluster) m
+              FROM o{i} v LEFT JOIN (SELECT cluster, count(*) AS n, sum(x[1]) AS s1, sum(x[2]) AS s2 FROM a{i} GROUP BY cluster) m
               ON m.cluster = v.cluster)"""
         )
+        if split:
+            parts.append(_sql_split(f"v{i + 1}", name))
     return "WITH " + ",\n".join(parts)
 
 
@@ -45,16 +60,19 @@ def points(spark, sf_dir):
     return events.select(F.col("event_id").alias("id"), label.alias("label"), F.array("value", F.col("user_id").cast("double")).alias("features"))
 
 
-def trained(spark, sf_dir):
+def trained(spark, sf_dir, far=False, **options):
     """Each slice arrives as new files; every run of the stream takes it as one batch."""
     root = scratch_path(spark, "stream")
     df = points(spark, sf_dir)
     state = online.State(spark, f"{root}/state")
-    state.start(kmeans.first_rows(df, _K, ["id"]))
+    centers = kmeans.first_rows(df, _K, ["id"])
+    if far:
+        centers[-1] = 1e9
+    state.start(centers)
     for i in range(_SLICES):
         write_delimited(df.filter(F.col("id") % _SLICES == i).select("features"), f"{root}/training/slice{i}")
         stream = online.training_stream(spark, f"{root}/training/*", 2)
-        online.train_on(stream, state, f"{root}/train-checkpoint", trigger=_ONCE).awaitTermination()
+        online.train_on(stream, state, f"{root}/train-checkpoint", trigger=_ONCE, **options).awaitTermination()
     return root, state
 
 
@@ -112,6 +130,45 @@ def center_history(spark, sf_dir):
     return _history(state.history())
 
 
+_ALL_VERSIONS = " UNION ALL ".join(_sql_version(i) for i in range(_SLICES + 1))
+
+
+@query("s3_dying_center_split", f"{_sql_fold(f'CASE WHEN cluster = {_K - 1} THEN [1e9, 1e9] ELSE x END', split=True)} {_ALL_VERSIONS}")
+def dying_center_split(spark, sf_dir):
+    """All versions of a stream that starts with a centre far from every row, which the first batch moves."""
+    return _history(trained(spark, sf_dir, far=True, nudge=_NUDGE)[1].history())
+
+
+_SQL_WEIGHT = "SELECT {i}::INTEGER AS version, cluster::INTEGER AS cluster, {x1} AS x1, {x2} AS x2, {w} AS weight FROM v{i}"
+
+
+@query(
+    "s3_half_life_in_points",
+    f"{_sql_fold(decay=f'pow(0.5, {{rows}} / {_HALF_LIFE}.0)')} "
+    + " UNION ALL ".join(_SQL_WEIGHT.format(i=i, x1=r("x[1]"), x2=r("x[2]"), w=r("w")) for i in range(_SLICES + 1)),
+)
+def half_life_in_points(spark, sf_dir):
+    """All versions when a row counts half after the next 5000."""
+    _, state = trained(spark, sf_dir, decay=online.half_life(_HALF_LIFE), unit="points")
+    return _history(state.history()).withColumn("weight", rounded("weight"))
+
+
+_DUMP = 1000
+
+
+@query(
+    "s4_dumps_by_count",
+    f"""{_FOLD}, seen AS (SELECT version, (SELECT count(*) FROM pts WHERE id % {_SLICES} < version) AS n
+      FROM range({_SLICES + 1}) t(version)),
+    due AS (SELECT a.version, a.n FROM seen a JOIN seen b ON a.version = b.version + 1 WHERE a.n // {_DUMP} > b.n // {_DUMP})
+    SELECT h.*, due.n AS seen FROM ({_ALL_VERSIONS}) h JOIN due USING (version)""",
+)
+def dumps_by_count(spark, sf_dir):
+    """The centres at each batch in which the rows seen passed another thousand."""
+    df = trained(spark, sf_dir)[1].dumps(_DUMP)
+    return df.select("version", "cluster", rounded(F.col("center")[0]).alias("x1"), rounded(F.col("center")[1]).alias("x2"), "weight", "seen")
+
+
 _JUDGED = f"""{_FOLD}, {sql_assign("f", "pts", f"v{_SLICES}", "label", _distance)},
 judged AS (SELECT *, CASE WHEN d < {_CUT} THEN 'normal' ELSE 'attack' END AS judged,
   {sql_outcome("label = 0", f"d < {_CUT}", "attack")} AS outcome FROM f)"""

@@ -103,3 +103,60 @@ def test_label_first(spark):
     df = spark.createDataFrame([(["1.0", "2.5", "3.5"],)], "fields array<string>")
     label, features = online.label_first(F.col("fields"))
     assert tuple(df.select(label.alias("l"), features.alias("f")).first()) == (1.0, [2.5, 3.5])
+
+
+@pytest.mark.parametrize("unit", ["batches", "points"])
+def test_a_dying_center_splits_the_heaviest(spark, tmp_path, unit):
+    rng = np.random.default_rng(4)
+    batches = [rng.normal(size=(n, 2)) for n in (30, 1, 50)]
+    decay = online.half_life(20)
+    start, state = np.array([[0.0, 1.0], [-1.0, 0.0], [1e6, 1e6]]), online.State(spark, str(tmp_path / "state"))
+    state.start(start)
+    expected = start, np.zeros(3)
+    for i, batch in enumerate(batches):
+        write_csv(tmp_path / "in", f"{i}.csv", batch)
+        stream = online.training_stream(spark, str(tmp_path / "in"), 2)
+        online.train_on(stream, state, str(tmp_path / "c"), decay, ONCE, unit, nudge=0.1).awaitTermination()
+        centers, weights = numpy_fold(*expected, batch, decay if unit == "batches" else decay ** len(batch))
+        if i == 0:  # the far one has no row; no later batch leaves one that light
+            heavy = weights.argmax()
+            assert weights[2] == 0
+            apart = 0.1 * np.maximum(abs(centers[heavy]), 1)
+            centers[2], centers[heavy] = centers[heavy] - apart, centers[heavy] + apart
+            weights[2] = weights[heavy] = weights[heavy] / 2
+        expected = centers, weights
+        np.testing.assert_allclose(state.read(i + 1)[0], centers)
+        np.testing.assert_allclose(state.read(i + 1)[1], weights)
+    assert online.split_dying(*expected)[0] is expected[0]
+    assert {r.version for r in state.dumps(40).collect()} == {3}
+    assert {r.version for r in state.dumps(31).collect()} == {2, 3}
+
+
+def test_old_versions_are_packed(spark, tmp_path):
+    state = online.State(spark, str(tmp_path / "state"), pack=3)
+    for version in range(9):
+        state._write(version, np.full((2, 1), float(version)), np.ones(2))
+    state._write(8, np.full((2, 1), 8.0), np.ones(2))  # a batch run again
+    assert sorted(p.name for p in (tmp_path / "state").glob("v*")) == ["v6", "v7", "v8"]
+    assert sorted(p.name for p in (tmp_path / "state" / "log").iterdir()) == ["c0", "c1"]
+    assert [state.read(v)[0][0, 0] for v in range(9)] == [float(v) for v in range(9)]
+    assert sorted(r.version for r in state.history().collect()) == sorted([*range(9)] * 2)
+    state._pack_up(1)  # as after a failure between the table and the clearing
+    assert state.history().count() == 18 and state.latest_version() == 8
+
+
+def test_the_newest_of_a_thousand_versions_is_found_at_once(spark, tmp_path, monkeypatch):
+    state = online.State(spark, str(tmp_path / "state"), pack=5000)
+    state.start(np.zeros((1, 1)))
+    for version in range(1, 1000):
+        folder = tmp_path / "state" / f"v{version}"
+        folder.mkdir()
+        (folder / "_SUCCESS").touch()
+    state._write(1000, np.ones((1, 1)), np.ones(1))
+    looked, is_complete = [], online._is_complete
+    monkeypatch.setattr(online, "_is_complete", lambda s, folder: looked.append(folder) or is_complete(s, folder))
+    assert state.latest_version() == 1000 and len(looked) == 1
+    assert state.snapshot().matrix.tolist() == [[1.0]] and len(looked) <= 4
+    (tmp_path / "state" / "LATEST").write_text("")  # caught while it is written
+    (tmp_path / "state" / ".LATEST.crc").unlink(missing_ok=True)
+    assert state.latest_version() == 1000
