@@ -60,6 +60,28 @@ def csv_scan(spark, sf_dir):
     return records.read_delimited(spark, stored_text(spark, sf_dir), _SCHEMA)
 
 
+_FATE = """CASE WHEN l_orderkey % 7 = 0 THEN 'fields' WHEN l_orderkey % 11 = 0 THEN 'value' ELSE 'clean' END"""
+
+
+@query(
+    "a1_quarantined_lines",
+    f"""SELECT {_FATE} AS reason, CASE WHEN {_FATE} = 'value' THEN 'l_quantity' END AS "column", count(*) AS n,
+      {r("sum(CASE WHEN " + _FATE + " = 'clean' THEN l_quantity END)")} AS quantity FROM lineitem GROUP BY ALL""",
+)
+def quarantined_lines(spark, sf_dir):
+    """Lines of lineitem, some cut short and some with a word for a number, sorted out by the scan."""
+    cells = [F.col(c).cast("string") for c in (*KEYS, *NUMBERS, *_TEXT)]
+    wordy = [F.lit("many") if c == "l_quantity" else cell for c, cell in zip((*KEYS, *NUMBERS, *_TEXT), cells)]
+    value = F.when(F.col("l_orderkey") % 7 == 0, F.concat_ws(",", *cells[:-1]))
+    value = value.when(F.col("l_orderkey") % 11 == 0, F.concat_ws(",", *wordy)).otherwise(F.concat_ws(",", *cells))
+    path = scratch_path(spark, "lineitem-malformed")
+    lines(spark, sf_dir).select(value.alias("value")).write.text(path)
+    clean, kept = records.read_sorted_out(spark, path, _SCHEMA)
+    counted = clean.agg(F.count("*").alias("n"), rounded(F.sum("l_quantity")).alias("quantity"))
+    counted = counted.select(F.lit("clean").alias("reason"), F.lit(None).cast("string").alias("column"), "n", "quantity")
+    return counted.unionByName(kept.groupBy("reason", "column").agg(F.count("*").alias("n")), allowMissingColumns=True)
+
+
 @query(
     "a2_scan_with_partitions",
     "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag",

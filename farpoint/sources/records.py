@@ -68,7 +68,43 @@ def split_fields(lines: DataFrame, delimiter: str = ",", output: str = "fields")
 
 
 def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(line_no, value)`` with 1-based numbers in path, then file order.
+    """``(line_no, value)`` with 1-based numbers in path, then file order."""
+    return _numbered(spark, path).select("line_no", "value")
+
+
+def read_sorted_out(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, delimiter: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """The lines that fit the schema, as typed rows, and those that do not; together all lines.
+
+    A quarantined line keeps its ``file``, ``line`` (from 1, in that file) and ``value``; its
+    ``reason`` is "empty" for blank lines, "fields" for too many or too few fields, or "value", with
+    the first ``column`` that does not parse.  The lines are numbered once, in a stored table.
+    Empty fields are null, as in other scans.
+    """
+    bad = "_malformed"
+    while bad.lower() in {name.lower() for name in schema.names}:
+        bad += "_"
+    options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+
+    def parsed(types: T.StructType) -> Column:
+        return F.from_csv("value", T.StructType([*types, T.StructField(bad, T.StringType())]).toDDL(), options)
+
+    lines = materialize(_numbered(spark, path).withColumn("row", parsed(schema)), "sorted-out")
+    blank, malformed = F.trim("value") == "", F.col(f"row.{bad}").isNotNull()
+    clean = lines.filter(~blank & ~malformed).select(*[F.col(f"row.`{name}`") for name in schema.names])
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in schema.names])
+    wrong = F.coalesce(
+        *[F.when(F.col(f"text.`{name}`").isNotNull() & F.col(f"row.`{name}`").isNull(), name) for name in schema.names]
+    )
+    reason = F.when(blank, "empty").when(F.col(f"text.{bad}").isNotNull(), "fields").otherwise("value")
+    kept = lines.filter(blank | malformed).withColumn("text", parsed(texts)).withColumn("reason", reason)
+    column = F.when(F.col("reason") == "value", wrong)
+    return clean, kept.select("file", "line", "reason", column.alias("column"), "value")
+
+
+def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(line_no, file, line, value)``: numbers over all files, and in each.
 
     A scan task reads a byte range of one file front to back, so a row's number is the
     number of rows in all earlier ranges plus its position in its own.  Two scans; only
@@ -89,13 +125,14 @@ def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame
     offsets = (
         ranges.withColumn("range_offset", _running_total("n", in_file))
         .join(file_offsets.drop("file_n"), "file")
-        .select("file", "start", "n", "first_seq", (F.col("range_offset") + F.col("file_offset")).alias("offset"))
+        .select("file", "start", "n", "first_seq", "range_offset", "file_offset")
     )
     position = F.col("seq") - F.col("first_seq")
-    number = F.when((position >= 0) & (position < F.col("n")), F.col("offset") + position + 1).otherwise(
+    number = F.when((position >= 0) & (position < F.col("n")), F.col("range_offset") + position + 1).otherwise(
         F.raise_error(F.lit("input changed while its lines were numbered")).cast("long")
     )
-    return lines.join(offsets, ["file", "start"], "left").select(number.alias("line_no"), "value")
+    joined = lines.join(offsets, ["file", "start"], "left").withColumn("line", number)
+    return joined.select((F.col("line") + F.col("file_offset")).alias("line_no"), "file", "line", "value")
 
 
 def _running_total(column: str, window) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farpoint.operators import shape
 from farpoint.sources import records
@@ -129,3 +130,23 @@ def test_first_per_group_over_partitions(spark):
     rows = shape.first_per_group(df, "g", ["o"], 2).collect()
     expected = {g: sorted(999 - i for i in range(1000) if i % 3 == g)[:2] for g in range(3)}
     assert {g: sorted(r.o for r in rows if r.g == g) for g in range(3)} == expected
+
+
+def test_malformed_lines_are_kept_with_file_line_and_reason(spark, tmp_path):
+    lines = ["tcp,1.5,3", "udp,x,y", "", "tcp,1", "tcp,,", '"a,b",2,3', "tcp,1,2,3", "icmp,1.0,2.5"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in" / "b.csv").write_text("tcp,2,4\n  \n")
+    clean, kept = records.read_sorted_out(spark, str(tmp_path / "in"), T.StructType().add("p", "string").add("v", "double").add("_malformed", "int"))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted(
+        [("tcp", 1.5, 3), ("tcp", None, None), ("a,b", 2.0, 3), ("tcp", 2.0, 4)], key=str
+    )
+    found = {(r.file.rsplit("/", 1)[1], r.line): (r.reason, r.column, r.value) for r in kept.collect()}
+    assert found == {
+        ("a.csv", 2): ("value", "v", "udp,x,y"),
+        ("a.csv", 3): ("empty", None, ""),
+        ("a.csv", 4): ("fields", None, "tcp,1"),
+        ("a.csv", 7): ("fields", None, "tcp,1,2,3"),
+        ("a.csv", 8): ("value", "_malformed", "icmp,1.0,2.5"),
+        ("b.csv", 2): ("empty", None, "  "),
+    }
