@@ -137,7 +137,7 @@ def test_malformed_lines_are_kept_with_file_line_and_reason(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("\n".join(lines) + "\n")
     (tmp_path / "in" / "b.csv").write_text("tcp,2,4\n  \n")
-    clean, kept = records.read_sorted_out(spark, str(tmp_path / "in"), T.StructType().add("p", "string").add("v", "double").add("_malformed", "int"))
+    clean, kept = records.read_sorted_out(spark, str(tmp_path / "in"), T.StructType().add("p", "string").add("v", "double").add("_malformed", "integer"))
     assert sorted(map(tuple, clean.collect()), key=str) == sorted(
         [("tcp", 1.5, 3), ("tcp", None, None), ("a,b", 2.0, 3), ("tcp", 2.0, 4)], key=str
     )
