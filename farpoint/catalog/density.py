@@ -21,7 +21,7 @@ from farpoint.catalog.base import (
 )
 from farpoint.catalog.clusters import stored_lines
 from farpoint.catalog.distances import topic_centers
-from farpoint.operators import centroid_lof, evaluate, exact_lof, kmeans, neighbours, nested_neighbours, threshold
+from farpoint.operators import centroid_lof, evaluate, exact_lof, kmeans, neighbours, nested_neighbours, projected_neighbours, threshold
 from farpoint.session import materialize
 
 _K = 4
@@ -251,6 +251,50 @@ def exact_lof_lines(spark, sf_dir):
     return model.train_scores.select("id", "label", rounded("lof").alias("lof"))
 
 
+@query("l8_projected_lof_lines")
+def projected_lof_lines(spark, sf_dir):
+    """The approximate factor of every order line; ``proven`` marks rows whose neighbours are certainly exact."""
+    model = exact_lof.fit(stored_lines(spark, sf_dir), 5, forest=projected_neighbours.Forest())
+    return model.train_scores.select("id", "label", rounded("lof").alias("lof"), "proven")
+
+
+@query("l8_projected_recall_lines")
+def projected_recall_lines(spark, sf_dir):
+    """The approximate neighbourhoods of all different order lines against the exact ones: the mean share found,
+    points of which less than 0.9 is found, points with a proof, and such points that lack a neighbour."""
+    points = materialize(neighbours.distinct_points(stored_lines(spark, sf_dir), None), "points")
+    points = points.withColumn("weight", F.lit(1.0))
+    asked = points.withColumn("need", F.lit(5.0))
+    found, proofs = projected_neighbours.grow(points, projected_neighbours.Forest()).pairs(asked, 5)
+    exact = nested_neighbours.candidate_pairs(asked, points, 5)
+    shares = projected_neighbours.recall(neighbours.neighbourhood(found, 5), neighbours.neighbourhood(exact, 5))
+    return shares.join(proofs, "pid").agg(
+        F.count("*").alias("points"),
+        rounded(F.avg("recall"), 4).alias("recall"),
+        F.count_if(F.col("recall") < 0.9).alias("under"),
+        F.count_if("proven").alias("proven"),
+        F.count_if(F.col("proven") & (F.col("recall") < 1)).alias("proven_lacking"),
+    )
+
+
+_NUMBERS = """points AS MATERIALIZED (SELECT min(p_partkey) AS p, count(*) AS w, p_size / 8 AS a, floor(p_retailprice / 5) / 128 AS b
+  FROM part GROUP BY p_size, floor(p_retailprice / 5) / 128),
+pairs AS MATERIALIZED (SELECT x.p, y.p AS o, y.w - (x.p = y.p)::INT AS w, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d
+  FROM points x CROSS JOIN points y WHERE x.p <> y.p OR y.w > 1)"""
+
+
+@query(
+    "l8_completed_lof_parts",
+    f"""WITH {sql_exact_lof(_NUMBERS, _STANDARD.format(k=5), 'max(d)')} SELECT r.p_partkey AS id, {r('f.lof')} AS lof, true AS proven
+    FROM part r JOIN points q ON q.a = p_size / 8 AND q.b = floor(p_retailprice / 5) / 128 JOIN factor f ON f.p = q.p""",
+)
+def completed_lof_parts(spark, sf_dir):
+    """Projections first, the exact search for the points that they leave without proof."""
+    df = records(spark, sf_dir).select("id", F.col("features.num").alias("features"))
+    model = exact_lof.fit(df, 5, block_rows=256, forest=projected_neighbours.Forest(4, complete=True))
+    return model.train_scores.select("id", rounded("lof").alias("lof"), "proven")
+
+
 def lattice(spark, sf_dir):
     """Quantity and line number of every order line: 350 points with many copies and ties."""
     return lines(spark, sf_dir).select("id", F.array(F.col("l_quantity"), F.col("l_linenumber").cast("double")).alias("features"))
