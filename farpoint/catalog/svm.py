@@ -60,6 +60,32 @@ def one_class_training_unscaled(spark, sf_dir):
     return model.score(df).groupBy("label", "accepted").agg(F.count("*").alias("n"))
 
 
+def _landmarks(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    return df, ocsvm.train_landmarks(df.filter(F.col("label") == "normal."), 0.1, landmarks=64)
+
+
+@query(
+    "v2_landmark_rejected",
+    f"WITH {SQL_EMBEDDINGS} SELECT count(*) AS n, floor(count(*) * 0.1)::BIGINT AS rejected FROM pts WHERE label = 'normal.'",
+)
+def landmark_rejected(spark, sf_dir):
+    """Trained on landmarks of the normal embeddings: training rows rejected, as many as nu says."""
+    df, model = _landmarks(spark, sf_dir)
+    scored = model.score(df.filter(F.col("label") == "normal."))
+    return scored.agg(F.count("*").alias("n"), F.count_if(~F.col("accepted")).alias("rejected"))
+
+
+@query("v2_landmark_training")
+def landmark_training(spark, sf_dir):
+    """Accepted rows per topic, and on how many the model of Fourier features says the same."""
+    df, model = _landmarks(spark, sf_dir)
+    fourier = ocsvm.train(df.filter(F.col("label") == "normal."), 0.1)
+    both = fourier.score(df, output="other").withColumnRenamed("accepted", "also")
+    counts = model.score(both).groupBy("topic", "accepted")
+    return counts.agg(F.count("*").alias("n"), F.count_if(F.col("accepted") == F.col("also")).alias("same"))
+
+
 @query("v3_one_class_prediction")
 def one_class_prediction(spark, sf_dir):
     df = embeddings(spark, sf_dir)

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farpoint.functions import vectors
+from farpoint.operators import kmeans
 from farpoint.operators.kmeans import sum_arrays
 from farpoint.operators.scale import VectorScaler, fit_vectors
 from farpoint.operators.threshold import order_statistic
@@ -20,6 +21,8 @@ from farpoint.session import materialize
 
 _MODEL_BYTES = 64 * 1024 * 1024
 _CHUNK_ROWS = 200_000
+#: Landmarks at most; their kernel matrix is solved on the driver.
+MAX_LANDMARKS = 1024
 
 
 def score_support_vectors(
@@ -184,3 +187,97 @@ def _violators(rows, directions, phases, w, rho, scaler) -> tuple[int, np.ndarra
         .first()
     )
     return row.n, np.array(row.total)
+
+
+# --- landmarks ---------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class LandmarkSvm:
+    """Support vectors among landmarks, in scaled space: ``sum alpha * exp(-gamma |x - center|^2) - rho``."""
+
+    centers: np.ndarray
+    alpha: np.ndarray
+    rho: float
+    gamma: float
+    scaler: VectorScaler | None = None
+
+    def support(self, spark: SparkSession) -> DataFrame:
+        """``(center, alpha)`` as :func:`score_support_vectors` reads it, with ``-gamma`` and ``rho``."""
+        rows = [([float(v) for v in c], float(a)) for c, a in zip(self.centers, self.alpha)]
+        return spark.createDataFrame(rows, "center array<double>, alpha double")
+
+    def scaled(self, features: str = "features"):
+        """The column that the support vectors are compared with."""
+        x = F.col(features)
+        return x if self.scaler is None else vectors.shift_and_divide(x, self.scaler.mean, self.scaler.divisor)
+
+    def score(self, df: DataFrame, features: str = "features") -> DataFrame:
+        at = _free_name(df, "_scaled")
+        rows = df.withColumn(at, self.scaled(features))
+        return score_support_vectors(rows, self.support(df.sparkSession), -self.gamma, self.rho, at).drop(at)
+
+
+def train_landmarks(
+    df: DataFrame,
+    nu: float = 0.1,
+    gamma: float | None = None,
+    scale: bool = True,
+    landmarks: int = 256,
+    iterations: int = 5,
+    key: str = "id",
+    seed: int = 7,
+    features: str = "features",
+) -> LandmarkSvm:
+    """One-class SVM whose support vectors are k-means centres, each as heavy as the rows nearest to it.
+
+    Every row weighs in, so a region with few rows has its landmark or its share of one.  The dual,
+    ``min a'Ka / 2`` with ``0 <= a_i <= share_i / nu`` and sum 1, has one unknown a landmark.  ``rho``
+    lies halfway between the training scores on either side of the exact nu-quantile, so that
+    ``floor(nu * n)`` rows are rejected where no scores tie there.  The rows are scanned once a
+    round of k-means, once for the shares and once for the scores; their number grows no further.
+    With fewer different rows than landmarks, each is one.
+    """
+    if not 1 <= landmarks <= MAX_LANDMARKS:
+        raise ValueError(f"1 to {MAX_LANDMARKS} landmarks")
+    if not 0 < nu <= 1:
+        raise ValueError("nu is a share of the rows")
+    scaler = fit_vectors(df, features, sample=True) if scale else None
+    model = LandmarkSvm(np.empty((0, 0)), np.empty(0), 0.0, 1.0, scaler)
+    rows = materialize(df.select(key, model.scaled(features).alias("x")), "landmark-rows")
+    n = rows.count()
+    if not n:
+        raise ValueError("no rows")
+    seeds = kmeans.parallel_seeds(rows, [min(landmarks, n)], [key], seed, features="x")[0]
+    found = kmeans.lloyd(rows, seeds, iterations, "x")
+    sizes = kmeans.cluster_sizes(found.assign(rows, "x")).collect()  # one row a landmark
+    used = np.array([r.cluster for r in sizes])
+    centers, share = found.matrix[used], np.array([r.n for r in sizes]) / n
+    width = gamma if gamma is not None else 1.0 / centers.shape[1]
+    alpha = _solve(np.exp(-width * vectors.pairwise_squared(centers, centers)), share / nu)
+    kept = alpha > 0
+    model = LandmarkSvm(centers[kept], alpha[kept], 0.0, width, scaler)
+    scores = score_support_vectors(rows.select("x"), model.support(df.sparkSession), -width, 0.0, "x").select("score")
+    scores = materialize(scores, "landmark-scores")
+    rejected = int(n * nu)
+    above = order_statistic(scores, "score", min(n, rejected + 1))
+    below = order_statistic(scores, "score", rejected) if rejected else above - 1e-6 * max(1.0, abs(above))
+    return LandmarkSvm(centers[kept], alpha[kept], (above + below) / 2, width, scaler)
+
+
+def _solve(kernel: np.ndarray, cap: np.ndarray, gap: float = 1e-9, steps: int = 200_000) -> np.ndarray:
+    """Least ``a'Ka / 2`` under ``0 <= a <= cap`` and sum 1: mass moves between the two that violate most."""
+    alpha = np.minimum(cap, np.maximum(0.0, 1.0 - np.concatenate([[0.0], np.cumsum(cap)[:-1]])))
+    slope = kernel @ alpha
+    for _ in range(steps):
+        up = int(np.where(alpha < cap, slope, np.inf).argmin())
+        down = int(np.where(alpha > 0, slope, -np.inf).argmax())
+        if not slope[down] - slope[up] > gap:
+            break
+        curve = kernel[up, up] + kernel[down, down] - 2 * kernel[up, down]
+        free = min(cap[up] - alpha[up], alpha[down])
+        move = free if curve <= 0 else min((slope[down] - slope[up]) / curve, free)
+        alpha[up] = cap[up] if move == cap[up] - alpha[up] else alpha[up] + move
+        alpha[down] = 0.0 if move == alpha[down] else alpha[down] - move
+        slope += move * (kernel[:, up] - kernel[:, down])
+    return alpha
