@@ -222,3 +222,36 @@ def running_outcome_counts(spark, sf_dir):
     stream = testing(spark, sf_dir, root)
     online.outcome_counts_on(stream, centers, name, f"{root}/checkpoint", _CUT).awaitTermination()
     return spark.table(name)
+
+
+_DAYS, _ARRIVALS = 10, 3
+_ARRIVED = f"""rows AS (SELECT event_id AS id, ts, time_bucket(INTERVAL 1 HOUR, ts) AS hour,
+  least({_ARRIVALS - 1}, (extract(day FROM ts)::INT - 1) // {_DAYS}) + (event_id % 50 = 0)::INT AS arrival FROM events),
+marks AS (SELECT a.arrival, max(b.ts) - INTERVAL 2 DAY AS mark FROM (SELECT DISTINCT arrival FROM rows) a
+  LEFT JOIN rows b ON b.arrival < a.arrival GROUP BY a.arrival),
+counted AS (SELECT id, hour FROM rows JOIN marks USING (arrival) WHERE mark IS NULL OR hour + INTERVAL 1 HOUR > mark)"""
+
+
+@query(
+    "s7_outcomes_by_event_time",
+    f"""WITH {_POINTS}, {sql_seeds("seeds", "pts", _K)}, {sql_assign("f", "pts", "seeds", "label", _distance)}, {_ARRIVED},
+    judged AS (SELECT id, {sql_outcome("label = 0", f"d < {_CUT}", "attack")} AS outcome FROM f)
+    SELECT strftime(hour, '%Y-%m-%d %H:%M') AS hour, outcome, count(*) AS n FROM judged JOIN counted USING (id) GROUP BY hour, outcome""",
+)
+def outcomes_by_event_time(spark, sf_dir):
+    """Hourly outcomes of events that arrive in three parts and, one in fifty, a part late: such a row
+    counts if its hour ends within two days of the latest event before."""
+    root = scratch_path(spark, "stream")
+    centers = Centers(kmeans.first_rows(points(spark, sf_dir), _K, ["id"]))
+    when = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("time"))
+    df = points(spark, sf_dir).join(when, "id")
+    part = F.least(F.lit(_ARRIVALS - 1), F.floor((F.dayofmonth("time") - 1) / _DAYS)) + F.when(F.col("id") % 50 == 0, 1).otherwise(0)
+    df = df.withColumn("arrival", part.cast("int"))
+    for i in range(_ARRIVALS + 1):
+        df.filter(F.col("arrival") == i).drop("arrival", "id").write.parquet(f"{root}/arrivals/part{i}")
+        stream = spark.readStream.schema("label double, features array<double>, time timestamp").parquet(f"{root}/arrivals/*")
+        online.windowed_outcomes_on(
+            stream, centers, f"{root}/checkpoint", f"{root}/counts", "1 hour", "2 days", threshold=_CUT, trigger=_ONCE
+        ).awaitTermination()
+    counts = online.windowed_outcomes(spark, f"{root}/counts")
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "outcome", "n")

@@ -278,6 +278,41 @@ def outcome_counts_on(
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def windowed_outcomes_on(
+    stream: DataFrame,
+    centers: Centers,
+    checkpoint: str,
+    results: str,
+    width: str = "1 hour",
+    delay: str = "1 day",
+    time: str = "time",
+    threshold: float = 75000.0,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Outcome counts per window of event time, as keyed state that a watermark bounds.
+
+    A batch writes the counts that it changed to ``results/b<batch>``, in place of what an earlier
+    run of it left, so a batch that is run again changes nothing.  A row may arrive late as long as
+    its window ends after the watermark, the latest time of earlier batches less ``delay``; later
+    ones are not counted, as their window's state is gone.  Rows without a time have no window.
+    """
+    scored = score_rows(stream.filter(F.col(time).isNotNull()).withWatermark(time, delay), centers, threshold)
+    counts = scored.groupBy(F.window(time, width).alias("window"), "outcome").agg(F.count("*").alias("n"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("window.start", "window.end", "outcome", "n", F.lit(batch_id).cast("long").alias("batch"))
+        rows.write.mode("overwrite").parquet(f"{results}/b{batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def windowed_outcomes(spark: SparkSession, results: str) -> DataFrame:
+    """``(start, end, outcome, n)``: of every window and outcome the count of the last batch that changed it."""
+    rows = spark.read.parquet(f"{results}/b*")
+    return rows.groupBy("start", "end", "outcome").agg(F.max_by("n", "batch").alias("n"))
+
+
 def _start(stream: DataFrame, action, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

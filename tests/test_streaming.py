@@ -160,3 +160,35 @@ def test_the_newest_of_a_thousand_versions_is_found_at_once(spark, tmp_path, mon
     (tmp_path / "state" / "LATEST").write_text("")  # caught while it is written
     (tmp_path / "state" / ".LATEST.crc").unlink(missing_ok=True)
     assert state.latest_version() == 1000
+
+
+def test_windowed_outcomes_with_late_rows_and_a_batch_run_again(spark, tmp_path):
+    from farpoint.operators.kmeans import Centers
+
+    centers = Centers(np.array([[0.0]]))
+    schema = "label double, features array<double>, time timestamp"
+
+    def arrive(name, rows):
+        df = spark.createDataFrame(rows, "label double, features array<double>, time string")
+        df.withColumn("time", F.to_timestamp("time")).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in") + "/*")
+        online.windowed_outcomes_on(
+            stream, centers, str(tmp_path / "c"), str(tmp_path / "out"), "1 hour", "2 hours", threshold=1.0, trigger=ONCE
+        ).awaitTermination()
+        found = online.windowed_outcomes(spark, str(tmp_path / "out"))
+        rows = found.select(F.date_format("start", "HH:mm").alias("at"), "outcome", "n").collect()
+        return sorted((r.at, r.outcome, r.n) for r in rows)
+
+    arrive("a", [(0.0, [0.1], "2024-01-01 06:10:00"), (1.0, [5.0], "2024-01-01 06:20:00"), (0.0, [0.2], "2024-01-01 09:30:00")])
+    assert run() == [("06:00", "TN", 1), ("06:00", "TP", 1), ("09:00", "TN", 1)]
+    # the mark is 07:30: a row of 07:40 is late and counts, one of 06:30 comes too late; one has no time
+    arrive("b", [(0.0, [0.3], "2024-01-01 07:40:00"), (0.0, [0.3], "2024-01-01 06:30:00"), (0.0, [9.0], "2024-01-01 09:40:00"), (0.0, [0.1], None)])
+    after = [("06:00", "TN", 1), ("06:00", "TP", 1), ("07:00", "TN", 1), ("09:00", "FP", 1), ("09:00", "TN", 1)]
+    assert run() == after
+    # the stream ends before it has noted its last batches: they are run again
+    for commit in sorted((tmp_path / "c" / "commits").glob("*[0-9]"), key=lambda p: int(p.name))[-2:]:
+        commit.unlink()
+        (commit.parent / f".{commit.name}.crc").unlink(missing_ok=True)
+    assert run() == after
