@@ -17,7 +17,7 @@ from farpoint.catalog.base import (
     rounded,
     table,
 )
-from farpoint.operators import encode, pca, scale
+from farpoint.operators import encode, pca, scale, sparse
 from farpoint.session import materialize
 from farpoint.sources import records
 
@@ -47,6 +47,60 @@ def one_hot(spark, sf_dir):
     return encoded.select("id", *[F.col("features")[i].alias(f"x{i}") for i in range(9)])
 
 
+_WIDE = ("l_partkey", "l_suppkey", "l_linestatus")
+
+
+def sparse_lines(spark, sf_dir):
+    """Order lines with a one-hot position for every part and supplier; the numbers are whole hundredths."""
+    df = lines(spark, sf_dir).select("id", "l_quantity", (F.col("l_discount") * 100).alias("discount"), *[F.col(c).cast("string") for c in _WIDE])
+    known = materialize(encode.dictionary(df, _WIDE), "dictionary")
+    return sparse.encode_sparse(df, ["l_quantity", "discount"], known)
+
+
+_SPARSE_CTE = f"""{", ".join(
+    f"d_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM lineitem))" for c in _WIDE)},
+    sparse AS MATERIALIZED (SELECT {SQL_ID} AS id, l_quantity AS q, l_discount * 100 AS d, l_partkey AS p, l_suppkey AS s, l_linestatus AS l,
+      1 + t.i AS i1, 1 + (SELECT count(*) FROM d_l_linestatus) + p.i AS i2,
+      1 + (SELECT count(*) FROM d_l_linestatus) + (SELECT count(*) FROM d_l_partkey) + s.i AS i3,
+      1 + (SELECT count(*) FROM d_l_linestatus) + (SELECT count(*) FROM d_l_partkey) + (SELECT count(*) FROM d_l_suppkey) AS i4
+      FROM lineitem JOIN d_l_partkey p ON p.v = l_partkey::VARCHAR JOIN d_l_suppkey s ON s.v = l_suppkey::VARCHAR
+        JOIN d_l_linestatus t ON t.v = l_linestatus)"""
+
+
+@query(
+    "c2_sparse_one_hot",
+    f"""WITH {_SPARSE_CTE} SELECT id, (i4 + 1)::INTEGER AS size, concat_ws(',', 0, i1, i2, i3, i4) AS indices, q AS x0, {r("d")} AS x4
+    FROM sparse""",
+)
+def sparse_one_hot(spark, sf_dir):
+    """One position for every part and supplier, in rows of five entries."""
+    f = F.col("features")
+    return sparse_lines(spark, sf_dir).select(
+        "id",
+        f["size"].alias("size"),
+        F.concat_ws(",", f["indices"].cast("array<string>")).alias("indices"),
+        f["values"][0].alias("x0"),
+        rounded(f["values"][4]).alias("x4"),
+    )
+
+
+@query(
+    "k5_sparse_assign",
+    f"""WITH {_SPARSE_CTE}, c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, * FROM (SELECT * FROM sparse ORDER BY id LIMIT 4)),
+    gaps AS (SELECT x.id, cluster, round((x.q - c.q) ** 2 + (x.d - c.d) ** 2 + 2 * ((x.p <> c.p)::INT + (x.s <> c.s)::INT + (x.l <> c.l)::INT), 6) AS g
+      FROM sparse x CROSS JOIN c)
+    SELECT id, arg_min(cluster, g * 10 + cluster)::INTEGER AS cluster, min(g) + 0.0 AS d FROM gaps GROUP BY id""",
+)
+def sparse_assign(spark, sf_dir):
+    """The nearest of four order lines, by sparse rows; a mismatch of parts, suppliers or states weighs 2."""
+    df = materialize(sparse_lines(spark, sf_dir), "sparse")
+    centers = [row.features for row in df.orderBy("id").limit(4).collect()]
+    found = sparse.center_distances(df, centers)
+    near = F.transform("dists", lambda d: F.round(d, 6))
+    least = F.array_min(near)
+    return found.select("id", (F.array_position(near, least) - 1).cast("int").alias("cluster"), least.alias("d"))
+
+
 @query(
     "c3_unseen_category",
     """SELECT event_type, event_type <> 'error' AS known, count(*) AS n FROM events GROUP BY 1""",
