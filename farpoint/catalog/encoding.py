@@ -272,6 +272,27 @@ def components(spark, sf_dir):
     return round_columns(model.table(spark), ["weight"], 5)
 
 
+@query(
+    "p1_wide_components",
+    f"""WITH {_TWO}, {_sql_components("two")}
+    SELECT 0::INTEGER AS feature, 0::INTEGER AS component, {r("u1", 5)} AS weight FROM pc
+    UNION ALL SELECT 1, 0, {r("v1", 5)} FROM pc""",
+)
+def wide_components(spark, sf_dir):
+    """The first component by subspace iteration, which never holds the covariance."""
+    model = pca.fit_wide_components(two_features(spark, sf_dir), 1)
+    return round_columns(model.table(spark), ["weight"], 5)
+
+
+@query("p1_wide_components_angles")
+def wide_components_angles(spark, sf_dir):
+    """Cosines between the first five components of the embeddings and those of the whole covariance."""
+    df = embeddings(spark, sf_dir)
+    wide, whole = pca.fit_wide_components(df, 5, passes=100), pca.fit_components(df, 5)
+    cosines = (wide.matrix * whole.matrix).sum(axis=0)
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(cosines)], "component int, cosine double")
+
+
 @query("p2_all_components")
 def all_components(spark, sf_dir):
     """Every component of the embeddings with its share of the variance."""
