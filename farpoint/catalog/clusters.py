@@ -71,7 +71,8 @@ def lloyd_lines(spark, sf_dir):
 @query("k1_library_lines")
 def library_lines(spark, sf_dir):
     """Spark ML k-means on the scaled lines: size and mean distance per cluster."""
-    df = stored_lines(spark, sf_dir)
+    # not the stored rows: a scan packs their files into large tasks, and a task's rows are kept in memory
+    df = spread(scaled_lines(spark, sf_dir).select("features"))
     assigned = kmeans.train(df, 20, 10).assign(df)
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(F.sqrt("sq_distance")).alias("mean_distance"))
 
