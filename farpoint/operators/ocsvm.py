@@ -110,16 +110,22 @@ class OneClassSvm:
 
         @F.arrow_udf(T.DoubleType())
         def margin(column: pa.Array) -> pa.Array:
-            x = vectors.to_matrix(column, directions.shape[0])
-            if scaler is not None:
-                x = (x - scaler.mean) / scaler.divisor
-            return pa.array(_fourier(x, directions, phases) @ weights - rho)
+            found = [np.empty(0)]
+            for x in vectors.slices(column, directions.shape[0]):
+                if scaler is not None:
+                    x = (x - scaler.mean) / scaler.divisor
+                found.append(_fourier(x, directions, phases) @ weights)
+            return pa.array(np.concatenate(found) - rho)
 
         return df.withColumn(output, vectors.once(margin, F.col(features))).withColumn("accepted", F.col(output) >= 0)
 
 
 def _fourier(x: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
-    return np.sqrt(2.0 / len(phases)) * np.cos(x @ directions + phases)
+    turns = x @ (directions / (2.0 * np.pi))
+    turns += phases / (2.0 * np.pi)
+    z = vectors.cosines(turns)
+    z *= np.sqrt(2.0 / len(phases))
+    return z
 
 
 def train(
@@ -134,61 +140,70 @@ def train(
 ) -> OneClassSvm:
     """Full-batch sub-gradient descent on the one-class objective.
 
-    The objective is ``|w|^2/2 - rho + mean(max(0, rho - w.z)) / nu``.  A step is one
-    aggregate that brings back the vector sum of the violating rows; after the last one
-    ``rho`` becomes the exact nu-quantile of the training scores, so that a share nu of
-    the rows is rejected.  ``gamma`` defaults to 1/d.
+    The objective is ``|w|^2/2 - rho + mean(max(0, rho - w.z)) / nu``.  The rows are scaled and
+    packed into blocks once.  A step is one aggregate over the blocks that brings back the vector
+    sum of the violating rows; after the last one ``rho`` becomes the exact nu-quantile of the
+    training scores, so that a share nu of the rows is rejected.  ``gamma`` defaults to 1/d.
     """
     scaler = fit_vectors(df, features, sample=True) if scale else None
-    rows = df.select(features).persist()
+    prepare = None if scaler is None else lambda x: (x - scaler.mean) / scaler.divisor
+    blocks = vectors.packed(df, features, prepare=prepare).persist()
     try:
-        first = rows.agg(F.count("*").alias("n"), F.max(F.size(features)).alias("d")).first()
-        n, d = first.n, first.d
+        n, d = vectors.packed_size(blocks)
         width = gamma if gamma is not None else 1.0 / d
         random = np.random.default_rng(seed)
         directions = random.normal(scale=np.sqrt(2.0 * width), size=(d, components))
         phases = random.uniform(0.0, 2.0 * np.pi, size=components)
-        mean = _violators(rows, directions, phases, np.zeros(components), np.inf, scaler)[1] / n
+        mean = _violators(blocks, directions, phases, np.zeros(components), np.inf)[1] / n
         w, rho = mean, float(mean @ mean)
         total_w = np.zeros(components)
         for step in range(1, steps + 1):
-            count, total = _violators(rows, directions, phases, w, rho, scaler)
+            count, total = _violators(blocks, directions, phases, w, rho)
             rate = 1.0 / (step + 1)
             w = w - rate * (w - total / (nu * n))
             rho = rho - rate * (count / (nu * n) - 1.0) * max(abs(rho), 1e-3)
             total_w += w
         w = total_w / steps
-        scored = OneClassSvm(directions, phases, w, 0.0, scaler).score(rows, features).select("score")
-        rho = order_statistic(scored, "score", max(1, int(n * nu) + 1))
+        rho = order_statistic(_scores(blocks, directions, phases, w), "score", max(1, int(n * nu) + 1))
         return OneClassSvm(directions, phases, w, rho, scaler)
     finally:
-        rows.unpersist()
+        blocks.unpersist()
 
 
-def _violators(rows, directions, phases, w, rho, scaler) -> tuple[int, np.ndarray]:
-    """Number and Fourier sum of the rows that score under ``rho``."""
-    width = len(phases)
+def _violators(blocks, directions, phases, w, rho) -> tuple[int, np.ndarray]:
+    """Number and Fourier sum of the packed rows that score under ``rho``."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, np.zeros(width)
+        n, total = 0, np.zeros(len(phases))
         for batch in batches:
-            x = vectors.to_matrix(batch.column(0), directions.shape[0])
-            if scaler is not None:
-                x = (x - scaler.mean) / scaler.divisor
-            z = _fourier(x, directions, phases)
-            under = z @ w < rho
-            n += int(under.sum())
-            total += z[under].sum(axis=0)
+            for x in vectors.slices(batch.column(0), directions.shape[0]):
+                z = _fourier(x, directions, phases)
+                under = z @ w < rho
+                n += int(under.sum())
+                total += under.astype(float) @ z
         yield pa.RecordBatch.from_arrays([pa.array([n]), vectors.to_lists(total[None, :])], names=["n", "total"])
 
     row = (
-        rows.mapInArrow(partial, "n long, total array<double>")
+        blocks.select("x").mapInArrow(partial, "n long, total array<double>")
         .agg(F.sum("n").alias("n"), sum_arrays(F.col("total")).alias("total"))
         .first()
     )
     return row.n, np.array(row.total)
 
 
+def _scores(blocks, directions, phases, w) -> DataFrame:
+    """``score`` of every packed row, before ``rho`` is taken off."""
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in range(batch.num_rows):
+                rows = vectors.slices(batch.column(0).slice(block, 1), directions.shape[0])
+                found = [_fourier(x, directions, phases) @ w for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["score"])
+
+    return blocks.select("x").mapInArrow(margins, "score double")
+
+
 # --- landmarks ---------------------------------------------------------------
 
 
