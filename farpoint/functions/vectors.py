@@ -182,17 +182,23 @@ def nearest(rows: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Index of and squared distance to the nearest centre, ties to the lowest index.
 
     One matrix product ranks the centres; rows whose two best are closer than the
-    product's rounding error are settled with exact differences.
+    product's rounding error are settled with exact differences.  Centres go down and rows
+    across, so that all steps run along the rows.
     """
     if len(rows) == 0:
         return np.empty(0, dtype=np.int32), np.empty(0)
     row_norms = np.einsum("ij,ij->i", rows, rows)
     center_norms = np.einsum("ij,ij->i", centers, centers)
-    scores = center_norms - 2.0 * (rows @ centers.T)
-    best = scores.argmin(axis=1)
+    scores = (-2.0 * centers) @ rows.T
+    scores += center_norms[:, None]
+    low = scores.min(axis=0)
     slack = 1e-9 * (row_norms + center_norms.max() + 1e-300)
-    close = (scores <= (scores[np.arange(len(rows)), best] + slack)[:, None]).sum(axis=1) > 1
-    if close.any():
+    near = (scores <= low + slack).astype(float)
+    count, best = np.stack([np.ones(len(centers)), np.arange(len(centers))]) @ near
+    best = best.astype(np.int64)  # the only centre that is near, where there is just one
+    if (missing := count < 1).any():
+        best[missing] = scores[:, missing].argmin(axis=0)
+    if (close := count > 1).any():
         best[close] = pairwise_squared(rows[close], centers).argmin(axis=1)
     gap = rows - centers[best]
     return best.astype(np.int32), np.einsum("ij,ij->i", gap, gap)
@@ -257,6 +263,19 @@ def nearest_distances(features: Column, models: Sequence[np.ndarray]) -> Column:
     return once(distances, features)
 
 
+def nearest_clusters(features: Column, models: Sequence[np.ndarray]) -> Column:
+    """For several sets of centres, the index of the nearest of each."""
+    models = [np.asarray(m, dtype=float) for m in models]
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def clusters(column: pa.Array) -> pa.Array:
+        rows = to_matrix(column, models[0].shape[1])
+        found = np.stack([nearest(rows, m)[0] for m in models], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(models)), pa.array(found.ravel()))
+
+    return once(clusters, features)
+
+
 def affine(features: Column, matrix: np.ndarray, shift: np.ndarray | None = None) -> Column:
     """``(x - shift) @ matrix`` for every row."""
     matrix = np.asarray(matrix, dtype=float)

@@ -154,18 +154,21 @@ def train(
 
 
 def model_sums(rows: DataFrame, models: Sequence[np.ndarray]) -> DataFrame:
-    """``(model, cluster, n, total, cost)`` of several sets of centres, from one scan."""
+    """``(model, cluster, n, total, cost)`` of several sets of centres, from one scan.
+
+    The first column holds features, as arrays or as packed blocks.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [(np.zeros(len(m)), np.zeros(m.shape), np.zeros(len(m))) for m in models]
         for batch in batches:
-            x = vectors.to_matrix(batch.column(0), models[0].shape[1])
-            for centers, (n, total, cost) in zip(models, sums):
-                index, distance = vectors.nearest(x, centers)
-                n += np.bincount(index, minlength=len(n))
-                cost += np.bincount(index, weights=distance, minlength=len(n))
-                for j in range(x.shape[1]):
-                    total[:, j] += np.bincount(index, weights=x[:, j], minlength=len(n))
+            for x in vectors.slices(batch.column(0), models[0].shape[1]):
+                for centers, (n, total, cost) in zip(models, sums):
+                    index, distance = vectors.nearest(x, centers)
+                    n += np.bincount(index, minlength=len(n))
+                    cost += np.bincount(index, weights=distance, minlength=len(n))
+                    for j in range(x.shape[1]):
+                        total[:, j] += np.bincount(index, weights=x[:, j], minlength=len(n))
         for model, (n, total, cost) in enumerate(sums):
             used = np.flatnonzero(n)
             if len(used):
@@ -302,6 +305,114 @@ def train_together(
     return lloyd_together(df, starts, iterations, features, tol)
 
 
+def train_packed(
+    df: DataFrame,
+    ks: Sequence[int],
+    key: Sequence[str],
+    iterations: int = 20,
+    init: str = "k-means||",
+    seed: int = 1,
+    features: str = "features",
+    tol: float = 1e-4,
+) -> list[Centers]:
+    """As :func:`train_together`, on rows that are packed into blocks once, for tables of many rows.
+
+    The draws of ``seed + i`` go by a hash of the row's key, so that they are the same however the
+    rows are dealt.  k-means|| takes two steps; the rows it draws, weighted by the rows nearest to
+    them, are thinned and settled on the driver, and random ones are added where fewer than k
+    different ones were drawn.
+    """
+    if init not in ("k-means||", "random"):
+        raise ValueError(f"no starts named {init}")
+    blocks = vectors.packed(df, features, key).persist()
+    try:
+        n, d = vectors.packed_size(blocks)
+        if n < max(ks):
+            raise ValueError(f"{max(ks)} seeds wanted, {n} rows found")
+        if init == "random":
+            starts = _packed_random(blocks, n, d, ks, seed)
+        else:
+            starts = _packed_parallel(blocks, n, d, ks, seed)
+        return lloyd_together(blocks, starts, iterations, "x", tol)
+    finally:
+        blocks.unpersist()
+
+
+def _uniform(hashes: np.ndarray, run: int, step: int) -> np.ndarray:
+    """For each key's hash a number from 0 to 1, anew for every run and step (splitmix64)."""
+    mixed = hashes.view(np.uint64) + np.uint64((((run << 8) + step + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (mixed ^ (mixed >> np.uint64(31))) / 2.0**64
+
+
+def _packed_draw(blocks: DataFrame, d: int, runs: Sequence[int], step: int, chances: Sequence[float], models=None) -> list[np.ndarray]:
+    """Rows whose number is under their chance, for every run, by rising number.
+
+    The chance is the same for all rows, or, given models, in proportion to the squared distance
+    from the run's nearest centre.
+    """
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = vectors.slices(batch.column(1), 1)  # eight bytes a row, cut as the features are
+            for x, h in zip(vectors.slices(batch.column(0), d), hashes):
+                h = np.ascontiguousarray(h).ravel().view(np.int64)
+                for i, (run, chance) in enumerate(zip(runs, chances)):
+                    u = _uniform(h, run, step)
+                    rows = np.flatnonzero(u < (chance if models is None else chance * vectors.nearest(x, models[i])[1]))
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(rows), i, np.int32)), pa.array(u[rows]), vectors.to_lists(x[rows])],
+                            names=["model", "u", "x"],
+                        )
+
+    found = blocks.select("x", "h").mapInArrow(drawn, "model int, u double, x array<double>")
+    found = found.orderBy("model", "u", "x").collect()  # a few times k rows a run
+    return [np.array([r.x for r in found if r.model == i], dtype=float).reshape(-1, d) for i in range(len(runs))]
+
+
+def _packed_random(blocks: DataFrame, n: int, d: int, ks: Sequence[int], seed: int) -> list[np.ndarray]:
+    runs, wanted = range(seed, seed + len(ks)), 8 * max(ks) + 64
+    while True:
+        drawn = _packed_draw(blocks, d, runs, 0, [wanted / n] * len(ks))
+        if wanted >= n or all(len(x) >= k for x, k in zip(drawn, ks)):
+            return [x[:k] for x, k in zip(drawn, ks)]
+        wanted *= 8
+
+
+def _packed_parallel(blocks: DataFrame, n: int, d: int, ks: Sequence[int], seed: int, steps: int = 2) -> list[np.ndarray]:
+    runs, rows = range(seed, seed + len(ks)), blocks.select("x")
+    drawn = _packed_random(blocks, n, d, [1] * len(ks), seed)
+    for step in range(1, steps + 1):
+        costs = np.zeros(len(ks))
+        for row in model_sums(rows, drawn).collect():
+            costs[row.model] += row.cost
+        chances = [2.0 * k / cost if cost > 0 else 0.0 for k, cost in zip(ks, costs)]
+        drawn = [np.vstack([old, new]) for old, new in zip(drawn, _packed_draw(blocks, d, runs, step, chances, drawn))]
+    weights = [np.zeros(len(x)) for x in drawn]
+    for row in model_sums(rows, drawn).collect():
+        weights[row.model][row.cluster] = row.n
+    seeds = [_settled(x, w, _thinned(x, w, k)) for x, w, k in zip(drawn, weights, ks)]
+    if any(len(s) < k for s, k in zip(seeds, ks)):
+        spare = _packed_random(blocks, n, d, ks, seed)
+        seeds = [np.vstack([s, r[: k - len(s)]]) for s, r, k in zip(seeds, spare, ks)]
+    return seeds
+
+
+def _settled(points: np.ndarray, weights: np.ndarray, centers: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Lloyd on the few weighted points that were drawn."""
+    for _ in range(rounds):
+        index, _ = vectors.nearest(points, centers)
+        n = np.bincount(index, weights=weights, minlength=len(centers))
+        total = np.stack([np.bincount(index, weights=weights * p, minlength=len(centers)) for p in points.T], axis=1)
+        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1.0)[:, None], centers)
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    return centers
+
+
 def best_of(models: Sequence[Centers]) -> Centers:
     """The model of least cost, the first of several."""
     return min(models, key=lambda m: m.cost)
@@ -317,6 +428,19 @@ def mean_distances(df: DataFrame, models: Sequence[Centers], features: str = "fe
     )
 
 
+def mean_entropies(df: DataFrame, models: Sequence[Centers], label: str = "label", features: str = "features") -> DataFrame:
+    """``(model, k, score)``: :func:`mean_entropy` of every model, from one scan."""
+    clusters = vectors.nearest_clusters(F.col(features), [m.matrix for m in models])
+    found = df.select(F.col(label).alias("label"), F.posexplode(clusters).alias("model", "cluster"))
+    counts = found.groupBy("model", "cluster", "label").agg(F.count("*").alias("count"))
+    totals = counts.groupBy("model", "cluster").agg(F.sum("count").alias("n"))
+    terms = counts.join(totals, ["model", "cluster"])
+    entropy = F.sum(-F.col("count") * F.log(F.col("count") / F.col("n"))) / F.sum("count")
+    ks = F.array(*[F.lit(m.k) for m in models])
+    scores = terms.groupBy("model").agg(entropy.alias("score"))
+    return scores.select("model", F.element_at(ks, F.col("model") + 1).alias("k"), "score")
+
+
 # --- tables about a clustering ----------------------------------------------
 
 

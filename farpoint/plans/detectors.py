@@ -27,6 +27,7 @@ from farpoint.plans.features import (
     CONNECTION,
     FeatureChain,
     Layout,
+    Library,
     Trainer,
     fit_features,
     from_first_rows,
@@ -47,6 +48,11 @@ def held(df: DataFrame):
         df.unpersist()
 
 
+def _fitted(chain: FeatureChain, rows: DataFrame) -> DataFrame:
+    """What a trainer reads of the rows: the key and the features, not the whole record."""
+    return chain.transform(rows).select(chain.layout.key, "features")
+
+
 # --- clustering and reports --------------------------------------------------
 
 
@@ -64,7 +70,7 @@ def cluster_label_report(
     """Scaled numeric columns, train statistics for both sides; test rows counted per
     cluster and label, with an aligned text line."""
     chain = fit_features(train, layout, one_hot=False, scaling="train", sumsq_cap=CAP)
-    with held(chain.transform(train)) as features:
+    with held(_fitted(chain, train)) as features:
         centers = (trainer or library(10))(features, k)
     counts = kmeans.label_counts(centers.assign(chain.transform(test)), label=layout.label)
     return counts.withColumn("line", shape.report_line(label=layout.label)).orderBy("cluster", layout.label)
@@ -88,7 +94,7 @@ def distance_features(
     """log(1+x), components, k centres; every set gets its distances to all centres as
     ``dists``.  The first result belongs to the training rows."""
     chain = fit_features(train, layout, one_hot=False, log=True, pca_k=pca_k, centered=centered)
-    with held(chain.transform(train)) as features:
+    with held(_fitted(chain, train)) as features:
         centers = (trainer or library(10))(features, k)
     return [centers.distances(chain.transform(df), squared=squared) for df in (train, *others)]
 
@@ -121,7 +127,7 @@ def majority_detector(
     chain = fit_features(
         train, layout, one_hot=one_hot, scaling=scaling, sumsq_cap=sumsq_cap, pca_k=pca_k, unseen=unseen
     )
-    with held(chain.transform(train)) as features:
+    with held(_fitted(chain, train)) as features:
         centers = (trainer or library(10))(features, k)
     judged = judge_by_majority(chain.transform(train), chain.transform(test), centers, layout)
     return evaluate.rates(evaluate.confusion(judged))
@@ -221,7 +227,7 @@ def fit_normal_model(
         pca_k=pca_k,
         unseen=unseen,
     )
-    with held(chain.transform(normal_train)) as features:
+    with held(_fitted(chain, normal_train)) as features:
         return chain, (trainer or library(10))(features, k)
 
 
@@ -414,7 +420,7 @@ def two_model_svm(
     """A first model on distances to centres cleans the validation rows; a second one on
     their components judges the test rows.  Gives the test rows with outcome."""
     chain = fit_features(train, layout, one_hot=False, log=True, pca_k=pca_k, centered=True)
-    with held(chain.transform(train)) as features:
+    with held(_fitted(chain, train)) as features:
         centers = (trainer or library(10))(features, k)
         by_distance = centers.distances(features, squared=False)
         first = ocsvm.train(by_distance, nu, features="dists", **svm)
@@ -439,19 +445,35 @@ def sweep_distance(
 ) -> Sweep:
     """Mean distance to the own centre for every k."""
     chain = fit_features(rows, layout, one_hot=one_hot, scaling=scaling, sample_sd=sample_sd)
-    features = materialize(chain.transform(rows), "sweep")
-    return kmeans.sweep(features, ks, trainer or library(20), kmeans.mean_distance)
+    features = _sweep_rows(chain, rows)
+    return _sweep(features, ks, trainer or library(20), kmeans.mean_distance, kmeans.mean_distances)
+
+
+def _sweep_rows(chain: FeatureChain, rows: DataFrame) -> DataFrame:
+    """Stored once: key and label, where there are such columns, and features."""
+    kept = [c for c in (chain.layout.key, chain.layout.label) if c in rows.columns]
+    return materialize(chain.transform(rows).select(*kept, "features"), "sweep")
+
+
+def _sweep(features: DataFrame, ks: Iterable[int], trainer: Trainer, score, scores) -> Sweep:
+    """All k in the same scans where the trainer can, else one after the other."""
+    if not isinstance(trainer, Library):
+        return kmeans.sweep(features, ks, trainer, score)
+    ks = list(ks)
+    models = trainer.sweep(features, ks)
+    return Sweep(models, scores(features, [models[k] for k in ks]).select("k", "score"), features)
 
 
 def sweep_entropy(rows: DataFrame, ks: Iterable[int], layout: Layout = CONNECTION, trainer: Trainer | None = None) -> Sweep:
     """Size-weighted label entropy for every k, on scaled one-hot rows."""
     chain = fit_features(rows, layout, scaling="train")
-    features = materialize(chain.transform(rows), "sweep")
-    return kmeans.sweep(
+    features = _sweep_rows(chain, rows)
+    return _sweep(
         features,
         ks,
         trainer or library(20, runs=10, tol=1e-6),
         lambda assigned: kmeans.mean_entropy(assigned, label=layout.label),
+        lambda rows, models: kmeans.mean_entropies(rows, models, layout.label),
     )
 
 

@@ -97,9 +97,36 @@ def fit_features(
     return FeatureChain(layout, model, log, scaling, scaler, components, unseen, sumsq_cap)
 
 
-def library(iterations: int = 10, runs: int = 1, tol: float = 1e-4, init: str = "k-means||", seed: int = 1) -> Trainer:
-    """Spark ML training, best of ``runs`` seeds."""
-    return lambda df, k: kmeans.train(df, k, iterations, runs=runs, tol=tol, init=init, seed=seed)
+@dataclass(frozen=True)
+class Library:
+    """Spark ML training of one model; restarts and sweeps take the same method, all in the same scans of packed rows.
+
+    Their draws go by ``key``, or by the features of rows that have none.
+    """
+
+    iterations: int = 10
+    runs: int = 1
+    tol: float = 1e-4
+    init: str = "k-means||"
+    seed: int = 1
+    key: tuple[str, ...] = ("id",)
+
+    def __call__(self, df: DataFrame, k: int) -> Centers:
+        if self.runs > 1:
+            return self.sweep(df, [k])[k]
+        return kmeans.train(df, k, self.iterations, tol=self.tol, init=self.init, seed=self.seed)
+
+    def sweep(self, df: DataFrame, ks: Sequence[int]) -> dict[int, Centers]:
+        """For every k the best of ``runs`` models, by training cost."""
+        wanted = [k for k in ks for _ in range(self.runs)]
+        key = self.key if set(self.key) <= set(df.columns) else ("features",)
+        found = kmeans.train_packed(df, wanted, key, self.iterations, self.init, self.seed, tol=self.tol)
+        return {k: kmeans.best_of(found[i * self.runs : (i + 1) * self.runs]) for i, k in enumerate(ks)}
+
+
+def library(iterations: int = 10, runs: int = 1, tol: float = 1e-4, init: str = "k-means||", seed: int = 1) -> Library:
+    """Library training, best of ``runs`` seeds."""
+    return Library(iterations, runs, tol, init, seed)
 
 
 def from_first_rows(iterations: int = 10, order: Sequence[str] = ("id",), tol: float = 0.0) -> Trainer:

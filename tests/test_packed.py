@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from farpoint.functions import vectors
-from farpoint.operators import ocsvm
+from farpoint.operators import kmeans, ocsvm
+from farpoint.plans import features
 
 
 def test_cosines_to_double_precision():
@@ -52,3 +54,61 @@ def test_a_training_step_reads_blocks_and_equals_numpy(points_df, monkeypatch):
     model = ocsvm.train(df, nu=0.1, components=32, steps=3)
     assert len(read) == 4 and max(read) <= 8  # a block or two of each task, not each row
     assert model.score(df).where("not accepted").count() == 400
+
+
+def _blobs(rng, k=6, rows=400):
+    return np.vstack([rng.normal(c * 10.0, 0.5, size=(rows, 3)) for c in rng.permutation(np.arange(k * 3)).reshape(k, 3)])
+
+
+@pytest.mark.parametrize("init", ["k-means||", "random"])
+def test_packed_training_is_lloyd_however_dealt(points_df, init):
+    x = _blobs(np.random.default_rng(5))
+    ks = [6, 6, 3]
+    found = kmeans.train_packed(points_df(x).repartition(7), ks, ["id"], 25, init, tol=0.0)
+    again = kmeans.train_packed(points_df(x[::-1], range(len(x))[::-1]).repartition(2), ks, ["id"], 25, init, tol=0.0)
+    for k, model, other in zip(ks, found, again):
+        d = ((x[:, None] - model.matrix[None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        assert model.k == k and model.cost == pytest.approx(d.min(axis=1).sum())
+        if init == "k-means||":  # at rest
+            np.testing.assert_allclose(model.matrix, [x[near == c].mean(axis=0) for c in range(k)], atol=1e-9)
+        np.testing.assert_allclose(model.matrix, other.matrix)
+    if init == "k-means||":
+        assert found[0].cost < 1.05 * 3 * 0.25 * len(x)  # each blob has its centre
+
+
+def test_packed_training_of_copies_and_too_few(points_df):
+    [model] = kmeans.train_packed(points_df(np.array([[0.0]] * 5 + [[1.0]] * 5)), [3], ["id"], 2)
+    assert model.k == 3 and model.cost == 0.0
+    with pytest.raises(ValueError, match="seeds wanted"):
+        kmeans.train_packed(points_df(np.zeros((2, 1))), [3], ["id"])
+
+
+def test_draws_are_even_and_differ():
+    hashes = np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 20_000)
+    drawn = [kmeans._uniform(hashes, run, step) for run in (1, 2) for step in (0, 1)]
+    for i, u in enumerate(drawn):
+        assert abs(u.mean() - 0.5) < 0.01 and abs((u < 0.1).mean() - 0.1) < 0.01
+        assert all(abs(np.corrcoef(u, v)[0, 1]) < 0.03 for v in drawn[:i])
+
+
+def test_rounds_of_a_sweep_and_its_restarts_share_scans(points_df, monkeypatch):
+    x = _blobs(np.random.default_rng(7), rows=50)
+    scans, sums = [], kmeans.model_sums
+    monkeypatch.setattr(kmeans, "model_sums", lambda rows, models: scans.append(rows.count()) or sums(rows, models))
+    models = features.library(4, runs=2).sweep(points_df(x).repartition(3), [2, 4, 6])
+    assert {k: m.k for k, m in models.items()} == {2: 2, 4: 4, 6: 6}
+    assert 0 < len(scans) <= 3 + 4 + 1 and max(scans) <= 3  # starts, rounds, costs; a block a task
+    assert features.library(4, runs=3)(points_df(x).drop("id"), 6).k == 6
+    scores = {r.k: r.score for r in kmeans.mean_distances(points_df(x), list(models.values())).collect()}
+    for k, m in models.items():
+        assert scores[k] == pytest.approx(np.sqrt(((x[:, None] - m.matrix) ** 2).sum(axis=2).min(axis=1)).mean())
+
+
+def test_entropies_of_a_sweep_from_one_scan(points_df):
+    x = _blobs(np.random.default_rng(8), rows=40)
+    df = points_df(x).withColumn("label", F.when(F.col("id") % 7 < 2, "a").when(F.col("id") % 7 < 3, None).otherwise("b"))
+    models = kmeans.train_packed(df, [2, 5], ["id"], 3)
+    found = {r.k: r.score for r in kmeans.mean_entropies(df, models).collect()}
+    for m in models:
+        assert found[m.k] == pytest.approx(kmeans.mean_entropy(m.assign(df)).first().score)
