@@ -8,11 +8,14 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, tempfile.TemporaryDirectory] = {}
 _SHIPPED: set[str] = set()
 #: Rows that one task of a dealt-out table reads, at most about.
 ROWS_PER_TASK = 250_000
+#: Rows that one task of a scan may read, at most, for its table to be left as it is.
+PACKED_ROWS = 1_000_000
 
 
 def build_session(app: str = "farpoint", master: str | None = None, **conf: str) -> SparkSession:
@@ -87,11 +90,14 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows that come from fewer files than there should be tasks, dealt out to as many.
 
     For inputs that an iterative fit reads many times or that go through Arrow functions.
-    What a task reads, or keeps, does not grow with the table; an input of enough files is
-    left as it is, without a shuffle.
+    What a task reads, or keeps, does not grow with the table.  An input of enough files is
+    left as it is, without a shuffle, unless Spark packs so many of them, or so long a one,
+    into a task that it reads more than ``PACKED_ROWS``.
     """
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
-    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+    by_task = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    rows, most = by_task.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    return df if len(df.inputFiles()) >= tasks and most <= PACKED_ROWS else df.repartition(tasks)
 
 
 def ship_package(spark: SparkSession) -> None:
