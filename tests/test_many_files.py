@@ -44,7 +44,7 @@ def test_empty_table(spark):
     assert session.spread(spark.range(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["detector_projected_majority", "detector_scaled_majority", "features_center_distances"])
+@pytest.mark.parametrize("name", ["detector_projected_majority", "detector_scaled_majority", "features_center_distances", "detector_encoded_distance"])
 def test_queries_hold_no_more_of_packed_files(spark, tmp_path, monkeypatch, name):
     _limits(monkeypatch, 300, 600)
     _stored(spark.read.parquet(SMALL), tmp_path / "lineitem.parquet", 24)
