@@ -22,15 +22,15 @@ from farpoint.catalog.base import (
 from farpoint.operators import evaluate
 from farpoint.operators.shape import NORMAL
 from farpoint.plans import detectors, features
-from farpoint.session import spread
+from farpoint.session import scanned, spread
 
 _LLOYD = features.from_first_rows(4)
 _SMALL = features.library(10)
 _TRAIN, _TEST = "l_orderkey % 5 <> 0", "l_orderkey % 5 = 0"
 
 
-def sides(spark, sf_dir):
-    df = spread(lines(spark, sf_dir))
+def sides(spark, sf_dir, deal=spread):
+    df = deal(lines(spark, sf_dir))
     return df.filter(_TRAIN), df.filter(_TEST)
 
 
@@ -136,7 +136,7 @@ def numeric_majority(spark, sf_dir):
 
 @query("detector_scaled_majority")
 def scaled_majority(spark, sf_dir):
-    train, test = sides(spark, sf_dir)
+    train, test = sides(spark, sf_dir, scanned)
     return detectors.scaled_majority_detector(train, test, LINES, pca_k=3, k=20, trainer=_SMALL)
 
 

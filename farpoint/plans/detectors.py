@@ -33,7 +33,7 @@ from farpoint.plans.features import (
     from_first_rows,
     library,
 )
-from farpoint.session import materialize
+from farpoint.session import dealt, materialize
 
 CAP = 2e8
 
@@ -49,8 +49,9 @@ def held(df: DataFrame):
 
 
 def _fitted(chain: FeatureChain, rows: DataFrame) -> DataFrame:
-    """What a trainer reads of the rows: the key and the features, not the whole record."""
-    return chain.transform(rows).select(chain.layout.key, "features")
+    """What a trainer keeps of the rows: the key and the features, not the whole record,
+    no more in a task than :func:`farpoint.session.dealt` allows."""
+    return dealt(chain.transform(rows).select(chain.layout.key, "features"))
 
 
 # --- clustering and reports --------------------------------------------------

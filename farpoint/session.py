@@ -94,12 +94,36 @@ def spread(df: DataFrame) -> DataFrame:
     left as it is, without a shuffle, unless Spark packs so many of them, or so long a one,
     into a task that it reads more than ``PACKED_ROWS``.
     """
-    by_task = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
-    rows, most = by_task.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    rows, _, most = _by_task(df)
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
     return df if len(df.inputFiles()) >= tasks and most <= PACKED_ROWS else df.repartition(tasks)
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """Rows as their scan gives them where it has work for all cores, else :func:`spread`.
+
+    For inputs that are read in single passes, which keep nothing, beside a fit whose rows are
+    dealt out by :func:`dealt`: each pass over a dealt-out table shuffles it anew.
+    """
+    rows, tasks, most = _by_task(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if tasks >= cores and most * cores <= 2 * rows else spread(df)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows that a fit keeps, dealt out where a task would keep over a tenth more than ``ROWS_PER_TASK``."""
+    rows, _, most = _by_task(df)
+    if 10 * most <= 11 * ROWS_PER_TASK:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
+
+
+def _by_task(df: DataFrame) -> tuple[int, int, int]:
+    """Rows, tasks that have some, and the most of one."""
+    by_task = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    return tuple(by_task.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first())
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package as a zip, once per application."""
     app = spark.sparkContext.applicationId
