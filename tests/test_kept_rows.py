@@ -45,7 +45,7 @@ def test_scans_with_work_for_all_cores_are_left(spark, tmp_path, monkeypatch):
     assert _most(found) <= 600 and found.count() == 60_000
 
 
-@pytest.mark.parametrize("name", ["detector_scaled_majority", "features_center_distances"])
+@pytest.mark.parametrize("name", ["detector_scaled_majority", "features_center_distances", "detector_encoded_distance"])
 def test_queries_deal_out_what_their_fit_keeps(spark, tmp_path, monkeypatch, name):
     """24 files, 750 lines a task: no more than 1000, but more than a fit is to keep."""
     monkeypatch.setattr(session, "ROWS_PER_TASK", 300)
