@@ -7,7 +7,7 @@ import pytest
 from farpoint.catalog import QUERIES, clusters
 from tests.test_exact_lof import brute_lof
 
-QUERIES_OF_LINES = ["l8_projected_lof_lines", "l8_projected_recall_lines"]
+QUERIES_OF_LINES = ["l8_projected_lof_lines", "l8_projected_recall_lines", "l8_exact_lof_lines"]
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
