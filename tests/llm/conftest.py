@@ -31,3 +31,10 @@ def sf_small():
 
 def listed(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(autouse=True)
+def _batch_rows_put_back(spark):
+    """``small_batches`` sets them for the whole session; tests of other packages are to start without."""
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
